@@ -1,0 +1,29 @@
+"""Registered queries: every operator on the driver's tables."""
+
+from importlib import import_module
+
+MODULES = ["network", "frames", "events", "corpus", "models", "streams"]
+
+
+def _load():
+    from flowsieve.catalog import registry
+    for name in MODULES:
+        import_module(f"flowsieve.catalog.{name}")
+    return registry
+
+
+def _pinned(function):
+    """Time zone of the derived tables is UTC; everything else is left as the session has it."""
+    def run(spark, sf_dir):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return function(spark, sf_dir)
+    run.__doc__ = function.__doc__
+    return run
+
+
+def all_queries():
+    return {name: _pinned(function) for name, function in _load().QUERIES.items()}
+
+
+def all_oracles():
+    return dict(_load().ORACLES)

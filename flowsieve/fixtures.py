@@ -73,3 +73,22 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_returnflag = 'R' AND l_partkey % 3 = 0 THEN l_linenumber ELSE 0 END AS rst_count",
         "CASE WHEN l_returnflag = 'R' THEN (CASE WHEN l_linenumber % 2 = 0 THEN 'DDoS' ELSE 'PortScan' END)"
         " WHEN l_returnflag = 'A' THEN ' benign ' ELSE 'BENIGN' END AS Label")
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets as raw frames: some with VLAN tags, some IPv6, some too short or of another kind."""
+    number = lambda expr, digits: f"lpad(hex(CAST({expr} AS BIGINT)), {digits}, '0')"
+    v4 = lambda c: "concat(" + ", ".join(number(f"split({c}, '[.]')[{i}]", 2) for i in range(4)) + ")"
+    v6 = lambda c: f"concat('20010DB8', repeat('0', 20), {number(c, 4)})"
+    ports = f"concat({number('src_port', 4)}, {number('dst_port', 4)})"
+    l4 = (f"CASE WHEN protocol = 1 THEN '08000000' WHEN src_port < 0 THEN '0102' WHEN protocol = 17 THEN "
+          f"concat({ports}, '00080000', repeat('AA', CAST(size % 7 AS INT))) ELSE "
+          f"concat({ports}, '0000000100000000', '50', {number('tcp_flags', 2)}, '200000000000', repeat('BB', CAST(size % 5 AS INT))) END")
+    ip4 = (f"concat('4500', {number('size', 4)}, '0001400040', {number('protocol', 2)}, '0000', {v4('src_ip')}, {v4('dst_ip')}, l4)")
+    ip6 = (f"concat('60000000', {number('size - 40', 4)}, {number('protocol', 2)}, '40', {v6('packet_id % 60000 + 1')}, {v6('7')}, l4)")
+    link = "concat('001122334455', '66778899AABB', CASE WHEN packet_id % 4 = 1 THEN '81000064' ELSE '' END, "
+    rows = packets(spark, sf_dir).withColumn("l4", F.expr(l4))
+    body = (f"CASE WHEN packet_id % 101 = 0 THEN '00112233' WHEN packet_id % 103 = 0 THEN {link}'0806', '0001') "
+            f"WHEN packet_id % 10 = 3 THEN {link}'86DD', {ip6}) ELSE {link}'0800', {ip4}) END")
+    return rows.selectExpr("packet_id AS frame_id", "concat('if', packet_id % 3) AS iface",
+                           "timestamp_micros(ts_us) AS ts", f"unhex({body}) AS frame")

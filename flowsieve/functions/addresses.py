@@ -23,10 +23,9 @@ def _v6_forms() -> str:
 V4_PATTERN = f"^{_V4}$"
 V6_PATTERN = f"^({_v6_forms()})(%.+)?$"
 MAPPED = "(::ffff:)?"
-MULTICAST_V4 = rf"^{MAPPED}(22[4-9]|23\d)(\.{_OCTET}){{3}}$"
-LINK_LOCAL_V4 = rf"^{MAPPED}169\.254(\.{_OCTET}){{2}}$"
-MULTICAST_V6 = r"^ff[0-9a-f]{2}:"
-LINK_LOCAL_V6 = r"^fe[89ab][0-9a-f]:"
+GROUP_V4 = rf"(22[4-9]|23\d)(\.{_OCTET}){{3}}|255\.255\.255\.255"
+LOCAL_V4 = rf"169\.254(\.{_OCTET}){{2}}"
+GROUP_V6, LOCAL_V6 = "ff[0-9a-f]{2}:", "fe[89ab][0-9a-f]:"
 
 
 def ip_family(ip: Column) -> Column:
@@ -35,22 +34,22 @@ def ip_family(ip: Column) -> Column:
             .when(F.lower(ip).rlike(V6_PATTERN), F.lit("v6")))
 
 
-def _v6_prefixed(ip: Column, prefix: str) -> Column:
+def _matches(ip: Column, v4: str, v6: str) -> Column:
+    """One pattern per address; the long IPv6 form is only tried on text with the right prefix."""
     low = F.lower(ip)
-    return ip.contains(":") & low.rlike(prefix) & low.rlike(V6_PATTERN)
+    return (F.when(~ip.contains(":") | ip.contains("."), ip.rlike(f"^{MAPPED}({v4})$"))
+            .otherwise(low.rlike(f"^({v6})") & low.rlike(V6_PATTERN)))
 
 
 def is_multicast_or_broadcast(ip: Column) -> Column:
-    return ip.rlike(MULTICAST_V4) | (ip == "255.255.255.255") | _v6_prefixed(ip, MULTICAST_V6)
+    return _matches(ip, GROUP_V4, GROUP_V6)
 
 
 def is_link_local(ip: Column) -> Column:
-    return ip.rlike(LINK_LOCAL_V4) | _v6_prefixed(ip, LINK_LOCAL_V6)
+    return _matches(ip, LOCAL_V4, LOCAL_V6)
 
 
 def is_noise(drop_link_local: bool, src: str = "src_ip", dst: str = "dst_ip") -> Column:
-    ends = [F.col(src), F.col(dst)]
-    noise = is_multicast_or_broadcast(ends[0]) | is_multicast_or_broadcast(ends[1])
-    if drop_link_local:
-        noise = noise | is_link_local(ends[0]) | is_link_local(ends[1])
-    return F.coalesce(noise, F.lit(False))
+    v4 = f"{GROUP_V4}|{LOCAL_V4}" if drop_link_local else GROUP_V4
+    v6 = f"{GROUP_V6}|{LOCAL_V6}" if drop_link_local else GROUP_V6
+    return F.coalesce(_matches(F.col(src), v4, v6) | _matches(F.col(dst), v4, v6), F.lit(False))

@@ -52,14 +52,13 @@ def accept(packets: DataFrame, opts: Options) -> DataFrame:
 
 def capture_funnel(decoded: DataFrame, opts: Options, error: str = "parse_error") -> DataFrame:
     """Counters per interface; noise is tested before the capture filter."""
-    parsed = F.col(error).isNull()
-    noise = parsed & is_noise(opts.drop_link_local)
-    taken = parsed & ~is_noise(opts.drop_link_local) & captured(opts)
-    rest = parsed & ~is_noise(opts.drop_link_local) & ~captured(opts)
-    return decoded.groupBy("iface").agg(
+    fate = (F.when(F.col(error).isNotNull(), "error").when(is_noise(opts.drop_link_local), "noise")
+            .when(captured(opts), "accepted").otherwise("filtered"))
+    count = lambda *fates: F.count_if(F.col("fate").isin(*fates))
+    return decoded.select("iface", fate.alias("fate")).groupBy("iface").agg(
         F.count("*").alias("frames_received"),
-        F.count_if(~parsed).alias("parse_errors"),
-        F.count_if(parsed).alias("parsed"),
-        F.count_if(noise).alias("noise"),
-        F.count_if(rest).alias("filtered"),
-        F.count_if(taken).alias("accepted"))
+        count("error").alias("parse_errors"),
+        count("noise", "filtered", "accepted").alias("parsed"),
+        count("noise").alias("noise"),
+        count("filtered").alias("filtered"),
+        count("accepted").alias("accepted"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,12 +46,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise a result that several later steps read (reliable checkpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write a result that several later steps read, and continue from the written table.
+
+    This cuts the lineage with one computation, survives the loss of executors, and gives Spark the
+    true size, on which it then decides about broadcasts by itself.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's upper estimate of a result's size, used before choosing a small-data strategy."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(stats.sizeInBytes())
+
+
+def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """Broadcast a join side only after counting it; a larger one is left to a shuffled join."""
+    held = settle(df)
+    return F.broadcast(held) if held.count() <= max_rows else held
