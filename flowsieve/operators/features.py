@@ -27,8 +27,8 @@ def vector(columns: list[str] = FEATURES) -> Column:
 
 def with_defaults(rows: DataFrame) -> DataFrame:
     """Features that are absent (no column, or null) become 0.0; NaN is kept for the imputer."""
-    have = set(rows.columns)
-    filled = {name: F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in have else F.lit(0.0)
+    have = dict(rows.dtypes)
+    filled = {name: F.coalesce(F.col(name), F.lit(0).cast(have[name])) if name in have else F.lit(0.0)
               for name in FEATURES}
     return rows.withColumns(filled)
 
