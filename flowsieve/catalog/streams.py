@@ -1,0 +1,136 @@
+"""Queries that run the streaming jobs over the whole packet table, in slices of time, to the end."""
+
+from __future__ import annotations
+
+import functools
+
+from pyspark.sql import functions as F
+
+from flowsieve import fixtures as fx
+from flowsieve.catalog import sql
+from flowsieve.catalog.network import OPTS, accepted, six
+from flowsieve.catalog.registry import query
+from flowsieve.catalog.sql import with_
+from flowsieve.operators import blocks as bl
+from flowsieve.operators import features, policy, views
+from flowsieve.schemas import PACKETS
+from flowsieve.session import scratch_path
+from flowsieve.streaming import flows as sf
+from flowsieve.streaming import live
+
+DELAY = "1 hour"
+SLICE_US = 10 * 86_400_000_000
+
+
+def _packet_files(spark, d: str, packets=None) -> str:
+    """Packets in slices of ten days, written in time order, then an end-of-input marker."""
+    path = scratch_path(spark, "packets")
+    rows = (fx.packets(spark, d) if packets is None else packets).select(*[F.col(f.name).cast(f.dataType) for f in PACKETS])
+    low, high = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    at = low
+    while at <= high:
+        rows.filter(F.col("ts_us").between(at, at + SLICE_US - 1)).coalesce(1).write.mode("append").parquet(path)
+        at += SLICE_US
+    end = rows.orderBy(F.desc("ts_us")).limit(1).withColumn("ts_us", F.unix_micros(F.lit(sf.END_OF_INPUT).cast("timestamp")))
+    end.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _stream(spark, path: str):
+    return spark.readStream.schema(PACKETS).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _finish(df, spark, name: str):
+    """Runs a stream to the end of its input into a table and returns the table."""
+    out = scratch_path(spark, name)
+    run = (df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", scratch_path(spark, "progress"))
+           .trigger(availableNow=True).start(out))
+    run.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out), run
+
+
+def _flows(spark, d: str):
+    return sf.assemble_stream(_stream(spark, _packet_files(spark, d, accepted(spark, d))), OPTS, DELAY)
+
+
+@query("stream_filter", with_(*sql.PACKET_PARTS, select="SELECT packet_id, ts_us, src_ip, dst_ip, protocol FROM accepted"))
+def stream_filter(spark, d):
+    live_rows = sf.filter_stream(_stream(spark, _packet_files(spark, d)), OPTS, DELAY)
+    return _finish(live_rows.select("packet_id", "ts_us", "src_ip", "dst_ip", "protocol"), spark, "accepted")[0]
+
+
+@query("stream_flows", with_(*sql.FLOW_PARTS, select=f"SELECT {sql.FLOW_COLUMNS} FROM flows"))
+def stream_flows(spark, d):
+    return _finish(_flows(spark, d), spark, "flows")[0]
+
+
+@query("stream_flows_idle", with_(*sql.PACKET_PARTS, select="""
+SELECT lo, hi, protocol, min(ts_us) AS session_start, max(ts_us) AS session_end, count(*) AS packets FROM (
+  SELECT *, sum(opened) OVER (PARTITION BY lo, hi, protocol ORDER BY ts_us, packet_id ROWS UNBOUNDED PRECEDING) AS session FROM (
+    SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY lo, hi, protocol ORDER BY ts_us, packet_id) > 259200000000
+      THEN 1 ELSE 0 END AS opened FROM accepted)) GROUP BY lo, hi, protocol, session"""))
+def stream_flows_idle(spark, d):
+    sessions = sf.idle_stream(_stream(spark, _packet_files(spark, d, accepted(spark, d))), OPTS, DELAY)
+    return _finish(sessions, spark, "sessions")[0]
+
+
+def _verdicts(flows):
+    return policy.verdicts(fx.scores(features.extract(flows)), OPTS, fx.NOVELTY_THRESHOLD).withColumn("probe", policy.is_probe(OPTS))
+
+
+@query("stream_decide", with_(*sql.DECISION_PARTS, select="SELECT flow_id, action, attacker_ip, source, round(decision_confidence, 6) AS confidence FROM decisions"))
+def stream_decide(spark, d):
+    decided = policy.flat(policy.decide(_verdicts(_flows(spark, d)), OPTS)).select("flow_id", "action", "attacker_ip", "source", "confidence")
+    return _finish(decided, spark, "decisions")[0].withColumn("confidence", F.round("confidence", 6))
+
+
+@functools.lru_cache(maxsize=4)
+def _live(spark, d: str) -> live.Live:
+    job = live.Live(spark, scratch_path(spark, "live"), OPTS, lambda flows: _verdicts(flows).drop("probe"))
+    job.start(_flows(spark, d)).awaitTermination()
+    return job
+
+
+@query("stream_blocks")
+def stream_blocks(spark, d):
+    return bl.active(_live(spark, d).blocks.current(), fx.NOW_US)
+
+
+@query("stream_notify")
+def stream_notify(spark, d):
+    return _live(spark, d).outbox().select("channel", "ts_us", "flow_id", "ip", "message")
+
+
+@query("stream_probes")
+def stream_probes(spark, d):
+    return _live(spark, d).events().filter("source = 'honeypot' OR type = 'honeypot.probe'").select(
+        "type", "flow_id", "ip", "port", "attacker_ip", "action")
+
+
+@query("stream_eventlog")
+def stream_eventlog(spark, d):
+    """The log the live job wrote, followed as a stream."""
+    job = _live(spark, d)
+    rows = live.tail_events(spark, f"{job.folder}/events/*/*/*").select("type", "flow_id", "action", "source", six("confidence"))
+    return _finish(rows, spark, "tail")[0]
+
+
+@query("stream_kpis")
+def stream_kpis(spark, d):
+    """Tumbling-window counts over the stream of decisions."""
+    decided = policy.flat(policy.decide(_verdicts(_flows(spark, d)), OPTS))
+    table, _ = _finish(decided.select(F.lit("decision").alias("type"), "action", F.col("last_us").alias("ts_us")), spark, "actions")
+    return views.windowed_counts(table.withColumn("event_time", F.timestamp_micros("ts_us")), "6 hours")
+
+
+@query("late_packets")
+def late_packets(spark, d):
+    """Every 50th packet arrives after the others: those behind the watermark are dropped and counted."""
+    rows = accepted(spark, d)
+    path = _packet_files(spark, d, rows.filter("packet_id % 50 <> 0"))
+    late = rows.filter("packet_id % 50 = 0").select(*[F.col(f.name).cast(f.dataType) for f in PACKETS])
+    late.coalesce(1).write.mode("append").parquet(path)
+    table, run = _finish(sf.assemble_stream(_stream(spark, path), OPTS, DELAY), spark, "flows")
+    dropped = sum(op.numRowsDroppedByWatermark for p in run.recentProgress for op in p.stateOperators)
+    return table.agg(F.sum(F.col("fwd_packets") + F.col("bwd_packets")).alias("packets_in_flows")).withColumn(
+        "packets_dropped", F.lit(dropped).cast("bigint"))

@@ -37,7 +37,7 @@ def flow_key(packets: DataFrame) -> DataFrame:
     return packets.withColumns({"lo": F.least(src, dst), "hi": F.greatest(src, dst), "from_lo": src <= dst})
 
 
-def _keyed(packets: DataFrame) -> DataFrame:
+def keyed(packets: DataFrame) -> DataFrame:
     return flow_key(packets.filter(valid_ports())).select(
         *KEY, "from_lo", "ts_us", "packet_id", "size", "tcp_flags")
 
@@ -138,7 +138,7 @@ def _hot_segments(keyed: DataFrame, opts: Options) -> DataFrame:
         *[F.min(F.when(first, F.col(n))).alias(n) for n in FIRST])
 
 
-def _oriented(segments: DataFrame) -> DataFrame:
+def oriented(segments: DataFrame) -> DataFrame:
     """Forward is the direction of the first packet."""
     forward = F.col("hi_first").isNull() | (F.col("lo_first") < F.col("hi_first"))
     forward = F.coalesce(forward, F.lit(False))
@@ -156,16 +156,16 @@ def _oriented(segments: DataFrame) -> DataFrame:
 
 def assemble(packets: DataFrame, opts: Options, small_input_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
     """Packets to completed flows, one row per segment; `flow_id` is the first packet's id."""
-    keyed = _keyed(packets)
-    if estimated_bytes(keyed) <= small_input_bytes:
-        return _oriented(_ordinary_segments(keyed, opts))
-    hot = settle(keyed.groupBy(*KEY).count().filter(F.col("count") > opts.hot_key_rows).select(*KEY))
+    rows = keyed(packets)
+    if estimated_bytes(rows) <= small_input_bytes:
+        return oriented(_ordinary_segments(rows, opts))
+    hot = settle(rows.groupBy(*KEY).count().filter(F.col("count") > opts.hot_key_rows).select(*KEY))
     if hot.isEmpty():
-        return _oriented(_ordinary_segments(keyed, opts))
+        return oriented(_ordinary_segments(rows, opts))
     # at most (all rows / hot_key_rows) keys; Spark broadcasts them when they fit its size limit
-    ordinary = _ordinary_segments(keyed.join(hot, KEY, "left_anti"), opts)
-    split = _hot_segments(keyed.join(hot, KEY, "left_semi"), opts)
-    return _oriented(ordinary.unionByName(split))
+    ordinary = _ordinary_segments(rows.join(hot, KEY, "left_anti"), opts)
+    split = _hot_segments(rows.join(hot, KEY, "left_semi"), opts)
+    return oriented(ordinary.unionByName(split))
 
 
 def flow_totals(flows: DataFrame) -> DataFrame:

@@ -21,17 +21,23 @@ def requests(blocks: DataFrame, opts: Options) -> DataFrame:
                     "reason", "source"))
 
 
-def accepted(asked: DataFrame, opts: Options, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def accepted(asked: DataFrame, opts: Options, fold_rows: int = FOLD_ROWS, clock: DataFrame | None = None) -> DataFrame:
     """Requests that pass the cooldown; only an accepted one moves the clock.
 
-    Requests at one time collapse to the first before the ordered step, which then sees distinct times.
+    Requests at one time collapse to the first before the ordered step, which then sees distinct
+    times. `clock` (channel, last_us) continues from an earlier run: the time last accepted counts as
+    the start of the chain, and requests before it are rejected.
     """
     if opts.cooldown_us == 0:
         return asked
+    if clock is not None:
+        asked = asked.join(clock, "channel", "left").filter("last_us IS NULL OR ts_us > last_us").drop("last_us")
     first = settle(asked.groupBy("channel", "ts_us")
-             .agg(F.min_by(F.struct("flow_id", "ip", "reason", "source"), F.col("flow_id")).alias("r"))
-             .select("channel", "ts_us", "r.*"))
+                   .agg(F.min_by(F.struct("flow_id", "ip", "reason", "source"), F.col("flow_id")).alias("r"))
+                   .select("channel", "ts_us", "r.*"))
     times = first.select("channel", F.col("ts_us").alias("t"))
+    if clock is not None:
+        times = times.unionByName(clock.select("channel", F.col("last_us").alias("t")))
     chain = greedy_chain(times, ["channel"], opts.cooldown_us, False, opts.cooldown_us, fold_rows)
     return first.join(chain.withColumnRenamed("t", "ts_us"), ["channel", "ts_us"])
 
