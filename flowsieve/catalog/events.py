@@ -46,7 +46,7 @@ def eventlog_union(spark, d):
     return _shown(_log(spark, d))
 
 
-@query("eventlog_encode")
+@query("eventlog_encode", with_(*sql.LOG_PARTS, select="SELECT type, count(*) AS records, count(protocol) AS with_flow FROM log GROUP BY type"))
 def eventlog_encode(spark, d):
     """Appended as text partitioned by type and day, and counted after reading the files back."""
     path = scratch_path(spark, "eventlog")
@@ -64,9 +64,10 @@ def events_recent(spark, d):
     return _shown(ev.recent(_lines(spark, d), 100, ["ts_us", "seq"]))
 
 
-@query("log_tail")
+@query("log_tail", with_(*sql.LOG_PARTS, select="SELECT ts_us, seq, type, layer, action, ip FROM log ORDER BY ts_us DESC, seq DESC LIMIT 60"))
 def log_tail(spark, d):
-    return views.raw_tail(_log(spark, d))
+    field = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
+    return views.raw_tail(_log(spark, d)).select("ts_us", "seq", *[field(n) for n in ("type", "layer", "action", "ip")])
 
 
 @query("kpi_counts", with_(*sql.LOG_PARTS, select="""

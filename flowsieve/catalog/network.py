@@ -229,7 +229,7 @@ def feature_preview(spark, d):
                        *[F.round(F.col(f"{n}_scaled"), 6).alias(f"sc_{n}") for n in FEATURES])
 
 
-@query("scaler_roundtrip")
+@query("scaler_roundtrip", with_(*sql.FEATURE_PARTS, _STATS, select=f"SELECT flow_id, {_SCALED} FROM features f, stats s"))
 def scaler_roundtrip(spark, d):
     rows = feature_rows(spark, d)
     path = scratch_path(spark, "scaler")
@@ -254,7 +254,10 @@ def alert_flag(spark, d):
     return verdict_rows(spark, d).select("flow_id", "label", "novelty", "alert")
 
 
-@query("verdict_lines")
+@query("verdict_lines", with_(*sql.VERDICT_PARTS, select="""
+SELECT flow_id, printf('[%s] label=%s conf=%.4f  novelty=%s score=%.4f', CASE WHEN alert THEN 'ALERT' ELSE 'ok   ' END, rpad(label, 8, ' '), confidence,
+    CASE WHEN novelty THEN 'YES' ELSE 'no ' END, anomaly_score) AS line,
+  CASE WHEN novelty AND label = 'BENIGN' THEN 'note: novelty flag - unusual pattern, NOT a known attack' END AS note FROM verdicts"""))
 def verdict_lines(spark, d):
     return policy.verdict_lines(verdict_rows(spark, d)).select("flow_id", "line", "note")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowsieve import fixtures as fx
 from flowsieve.catalog import sql
-from flowsieve.catalog.network import OPTS, accepted, six
+from flowsieve.catalog.network import OPTS, accepted
 from flowsieve.catalog.registry import query
 from flowsieve.catalog.sql import with_
 from flowsieve.operators import blocks as bl
@@ -91,9 +91,21 @@ def _live(spark, d: str) -> live.Live:
     return job
 
 
-@query("stream_blocks")
+# in the live job a decoy contact is decided on its own, next to the decision on its flow
+_LIVE = """live_rules AS (
+  SELECT *, CASE WHEN src_ip IN ('10.0.0.1', '192.168.0.1') THEN 1
+    WHEN syn_count >= 3 AND (bwd_packets = 0 OR rst_count = bwd_packets) THEN 3
+    WHEN label = 'ANOMALY' AND confidence >= 0.9::DOUBLE THEN 4 ELSE 7 END AS rule FROM verdicts),
+live_blocks AS (
+  SELECT src_ip AS ip, flow_id, last_us AS blocked_at_us FROM live_rules WHERE rule IN (3, 4)
+  UNION ALL SELECT src_ip, flow_id, start_us FROM live_rules WHERE probe AND rule <> 1)"""
+
+
+@query("stream_blocks", with_(*sql.VERDICT_PARTS, _LIVE, select=f"""
+SELECT * FROM (SELECT ip, flow_id, blocked_at_us, blocked_at_us + 172800000000 AS expires_at_us, blocked_at_us + 172800000000 - {fx.NOW_US} AS remaining_us
+  FROM live_blocks QUALIFY row_number() OVER (PARTITION BY ip ORDER BY blocked_at_us DESC, flow_id DESC) = 1) WHERE remaining_us > 0"""))
 def stream_blocks(spark, d):
-    return bl.active(_live(spark, d).blocks.current(), fx.NOW_US)
+    return bl.active(_live(spark, d).blocks.current(), fx.NOW_US).drop("reason", "source")
 
 
 @query("stream_notify")
@@ -101,21 +113,28 @@ def stream_notify(spark, d):
     return _live(spark, d).outbox().select("channel", "ts_us", "flow_id", "ip", "message")
 
 
-@query("stream_probes")
+@query("stream_probes", with_(*sql.VERDICT_PARTS, _LIVE, select="""
+SELECT 'honeypot.probe' AS type, flow_id, src_ip AS ip, dst_port AS port, NULL AS attacker_ip, NULL AS action FROM live_rules WHERE probe
+UNION ALL SELECT 'decision', flow_id, NULL, NULL, src_ip, 'block' FROM live_rules WHERE probe AND rule <> 1"""))
 def stream_probes(spark, d):
     return _live(spark, d).events().filter("source = 'honeypot' OR type = 'honeypot.probe'").select(
         "type", "flow_id", "ip", "port", "attacker_ip", "action")
 
 
-@query("stream_eventlog")
+@query("stream_eventlog", with_(*sql.VERDICT_PARTS, select="""
+SELECT type, count(*) AS records, count(DISTINCT flow_id) AS flows FROM (
+  SELECT unnest(['flow.features', 'decision', 'verdict']) AS type, flow_id FROM verdicts
+  UNION ALL SELECT unnest(['honeypot.probe', 'decision', 'verdict']), flow_id FROM verdicts WHERE probe) GROUP BY type"""))
 def stream_eventlog(spark, d):
     """The log the live job wrote, followed as a stream."""
     job = _live(spark, d)
-    rows = live.tail_events(spark, f"{job.folder}/events/*/*/*").select("type", "flow_id", "action", "source", six("confidence"))
-    return _finish(rows, spark, "tail")[0]
+    rows = live.tail_events(spark, f"{job.folder}/events/*/*/*").select("type", "flow_id")
+    return _finish(rows, spark, "tail")[0].groupBy("type").agg(F.count("*").alias("records"), F.count_distinct("flow_id").alias("flows"))
 
 
-@query("stream_kpis")
+@query("stream_kpis", with_(*sql.DECISION_PARTS, select="""
+SELECT ts_us - ts_us % 21600000000 AS window_us, 0 AS flows, count(*) FILTER (action = 'allow') AS allows, count(*) FILTER (action = 'alert') AS alerts,
+  count(*) FILTER (action = 'block') AS blocks, 0 AS probes FROM decisions GROUP BY 1"""))
 def stream_kpis(spark, d):
     """Tumbling-window counts over the stream of decisions."""
     decided = policy.flat(policy.decide(_verdicts(_flows(spark, d)), OPTS))
