@@ -34,22 +34,25 @@ def ip_family(ip: Column) -> Column:
             .when(F.lower(ip).rlike(V6_PATTERN), F.lit("v6")))
 
 
-def _matches(ip: Column, v4: str, v6: str) -> Column:
-    """One pattern per address; the long IPv6 form is only tried on text with the right prefix."""
-    low = F.lower(ip)
-    return (F.when(~ip.contains(":") | ip.contains("."), ip.rlike(f"^{MAPPED}({v4})$"))
-            .otherwise(low.rlike(f"^({v6})") & low.rlike(V6_PATTERN)))
+def _pattern(v4: str, v6: str) -> str:
+    """One pattern for both families; the long IPv6 form is only tried behind the right prefix."""
+    return f"(?i)^(?:{MAPPED}({v4})|(?={v6})({_v6_forms()})(%.+)?)$"
+
+
+GROUP = _pattern(GROUP_V4, GROUP_V6)
+LOCAL = _pattern(LOCAL_V4, LOCAL_V6)
+GROUP_OR_LOCAL = _pattern(f"{GROUP_V4}|{LOCAL_V4}", f"{GROUP_V6}|{LOCAL_V6}")
 
 
 def is_multicast_or_broadcast(ip: Column) -> Column:
-    return _matches(ip, GROUP_V4, GROUP_V6)
+    return ip.rlike(GROUP)
 
 
 def is_link_local(ip: Column) -> Column:
-    return _matches(ip, LOCAL_V4, LOCAL_V6)
+    return ip.rlike(LOCAL)
 
 
 def is_noise(drop_link_local: bool, src: str = "src_ip", dst: str = "dst_ip") -> Column:
-    v4 = f"{GROUP_V4}|{LOCAL_V4}" if drop_link_local else GROUP_V4
-    v6 = f"{GROUP_V6}|{LOCAL_V6}" if drop_link_local else GROUP_V6
-    return F.coalesce(_matches(F.col(src), v4, v6) | _matches(F.col(dst), v4, v6), F.lit(False))
+    pattern = GROUP_OR_LOCAL if drop_link_local else GROUP
+    noisy = lambda end: F.coalesce(F.col(end).rlike(pattern), F.lit(False))
+    return noisy(src) | noisy(dst)

@@ -32,7 +32,7 @@ def cut_points(rows: DataFrame, group: list[str], ranks: dict[str, Column]) -> D
     `ranks` maps a name to an expression over the group size `n`. A rank above n gives a null key.
     Result: (group..., name, rank, n, cut_draw, cut_id).
     """
-    counts = rows.groupBy(*group, _bucket().alias("bucket")).agg(F.count("*").alias("in_bucket"))
+    counts = settle(rows.groupBy(*group, _bucket().alias("bucket")).agg(F.count("*").alias("in_bucket")))
     whole = Window.partitionBy(*group)
     before = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sized = counts.withColumns({
@@ -40,7 +40,7 @@ def cut_points(rows: DataFrame, group: list[str], ranks: dict[str, Column]) -> D
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank"))
                        for name, rank in ranks.items()])
     asked = sized.select(*group, "bucket", "below", "in_bucket", "n", F.inline(wanted))
-    hit = settle(asked.filter("rank > below AND rank <= below + in_bucket"))
+    hit = asked.filter("rank > below AND rank <= below + in_bucket")
     slices = small_side(hit.select(*group, "bucket", "name", (F.col("rank") - F.col("below")).alias("place")))
     near = rows.select(*group, "draw", "row_id", _bucket().alias("bucket")).join(slices, group + ["bucket"])
     order = Window.partitionBy(*group, "name").orderBy("draw", "row_id")
