@@ -2,6 +2,8 @@
 
 from importlib import import_module
 
+from flowsieve.session import SETTINGS
+
 MODULES = ["network", "frames", "events", "corpus", "models", "streams"]
 
 
@@ -13,9 +15,10 @@ def _load():
 
 
 def _pinned(function):
-    """Time zone of the derived tables is UTC; everything else is left as the session has it."""
+    """The derived tables need UTC and have long expressions; the rest is left as the session has it."""
     def run(spark, sf_dir):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        for name in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+            spark.conf.set(name, SETTINGS[name])
         return function(spark, sf_dir)
     run.__doc__ = function.__doc__
     return run
