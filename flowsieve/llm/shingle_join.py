@@ -1,22 +1,21 @@
 """Near-duplicate documents by a Jaccard join of word shingles over a token-group matrix.
 
-A document is the set of its shingles' 64-bit hashes (tokens). Documents with equal sets are one text. Texts are partitioned into groups
-of similar ones, each group is known by the union of its tokens, and only groups whose union can
+A document is the set of its shingles' 64-bit hashes (tokens). Documents with equal sets are one text. Texts are partitioned into
+groups of similar ones, each group is known by the union of its tokens, and only groups whose union can
 reach the overlap that a text needs are opened.
 
-1. One pass finds frequent tokens: every task reports those that it met often, and sums above a share of all
-   documents make a bounded list. It gives the order of tokens (rare before frequent) and never decides a link.
-2. A second pass writes per document the set's digest, its group and its leading tokens. Two sets with
-   Jaccard similarity t share a token among the first |s| - ceil(t |s|) + 1 of each in one common order, so these are
-   the rows of the matrix. A text's group is the smallest token hash that isn't frequent, together with a band of set sizes; a text
-   that is mostly frequent tokens (a large family of copies, say) takes its smallest frequent one instead. Tokens of one
-   group that a task has already written are not written again.
-3. Tokens in two or more groups give the pairs of groups that can hold a link (with sizes in reach). Groups of
-   several texts are opened in themselves. Opening fetches the whole sets of their texts only. Groups are cut into blocks of
-   bounded size, and block pairs are tasks of their own.
-4. In a task the overlap bound is applied first: a text with fewer than ceil(t |s|) tokens in the other block's union is left
-   out. What remains is searched breadth first with exact overlaps against texts not reached yet, so a dense family costs one
-   sweep, and a spanning forest of the links is returned. Blocks whose texts are known to be connected aren't compared.
+1. One pass over the texts writes the leading tokens of every set in hash order. Of a set of m tokens at most m - ceil(t m) can
+   lack in a partner of similarity t, so among its first 2 (m - ceil(t m)) + 1 tokens at least half are shared with any partner. The
+   first bound asks whether the union of all other texts covers that many. Tokens travel in compact binary
+   rows by token range, each once per task, so a token of a third of all documents costs as much as the number of tasks;
+   what comes back to a task is which of its tokens others have, and how often they occur (their order).
+2. Texts that pass are partitioned into groups by the smallest of their shared tokens and a band of set sizes. The matrix has a row
+   for each group and shared token; the most frequent ones are left out as far as every partner still meets in a rest.
+   Groups in reach of each other that meet in a row are candidate pairs.
+3. Opening fetches the whole sets of the candidate groups' texts. Groups are cut into blocks of bounded size, and
+   blocks and block pairs are tasks of their own. In a task a text with fewer than ceil(t m) tokens in the other side's union is left
+   out; the rest is searched breadth first with exact overlaps against texts not reached yet, so a dense family costs one sweep, and
+   a spanning forest of the links is returned. Blocks whose texts are known to be connected aren't compared again.
 
 Components of the forest are found by distributed star steps. Every document then gets its class.
 
@@ -31,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +39,9 @@ from flowsieve.llm.graph import components
 from flowsieve.llm.words import Words, encoded, mixed
 from flowsieve.session import settle
 
-#: A token is frequent above this share of all documents (and this number); the list holds at most FREQUENT tokens.
-FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT = 1e-3, 50, 1 << 18
-#: What a task remembers while it counts tokens, and how often a token must recur in it to be reported.
-COUNTED, REPORTED, WRITTEN = 1 << 21, 4, 1 << 18
+#: Postings that a task holds before it writes them; documents per token range, which sets the number of ranges.
+HELD = 1 << 21
+DOCS_PER_RANGE = 2000
 BLOCK = 500
 SLICE = 400
 _SALT = 0x5851F42D4C957F2D
@@ -77,100 +76,184 @@ def _slices(batches, rows: int = SLICE):
             yield batch.iloc[start:start + rows]
 
 
-def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
-    """Hashes of frequent tokens, rarest first. Counts are lower bounds; only the order of tokens depends on them."""
-    def count(batches):
-        token, times, rows, fresh, held = np.empty(0, np.uint64), np.empty(0, np.int64), 0, [], 0
+def _needed(size, percent: int):
+    """Least overlap with any set of the given similarity: ceil(percent / 100 * size)."""
+    return -(-size * percent // 100)
 
-        def merge() -> tuple[np.ndarray, np.ndarray]:
-            new, number = np.unique(np.concatenate([*fresh, np.empty(0, np.uint64)]), return_counts=True)
-            both, back = np.unique(np.concatenate([token, new]), return_inverse=True)
-            sums, least = np.bincount(back, np.concatenate([times, number]), len(both)).astype(np.int64), 1
-            while len(both) > COUNTED:               # the rarest are forgotten
-                keep = sums > least
-                both, sums, least = both[keep], sums[keep], least + 1
-            return both, sums
 
-        for part in _slices(batches):
-            rows += len(part)
-            fresh.append(Sets(encoded(part["text"]), n).token)
-            held += len(fresh[-1])
-            if held > COUNTED:
-                token, times = merge()
-                fresh, held = [], 0
-        token, times = merge()
-        hit = times >= max(REPORTED, int(FREQUENT_SHARE * rows / 2))
-        yield pd.DataFrame({"token": token[hit].view(np.int64), "n": times[hit], "rows": 0})
-        yield pd.DataFrame({"token": [0], "n": [0], "rows": [rows]})
-
-    counted = settle(docs.select("text").mapInPandas(count, "token bigint, n bigint, rows bigint"))
-    rows = counted.agg(F.sum("rows")).first()[0] or 0
-    least = max(FREQUENT_LEAST, int(FREQUENT_SHARE * rows))
-    found = (counted.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-             .orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas())
-    return found["token"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+def _leading(size, percent: int):
+    """(number of leading tokens, how many of them every partner of at least that size shares)."""
+    spare = size - _needed(size, percent)
+    count = np.minimum(size, 2 * spare + 1)
+    return count, count - spare
 
 
-def _needed(size, percent: int):
-    """Least overlap with any set of the given similarity: ceil(percent / 100 * size)."""
-    return -(-size * percent // 100)
+def _low48(ids: np.ndarray) -> bytes:
+    return ids.astype("<u8").view("<u2").reshape(-1, 4)[:, :3].tobytes()
+
+
+def _from48(data: bytes, n: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 4), "<u2")
+    out[:, :3] = np.frombuffer(data, "<u2", 3 * n, at).reshape(n, 3)
+    return out.view("<u8").reshape(-1).astype(np.uint64)
 
 
-def sketched(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, mark, size, digest, grp, tokens): digest of the set, group, and the leading tokens new to the task."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    step = float(np.log(percent / 100))
+def postings(docs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
+    """Rows of three kinds: 0 documents (doc_id, mark, size, digest), 1 tokens of a unit in a token range, 2 a unit's texts.
+
+    A unit is a task or a part of it. Token ids are hashes without the lowest bits that 48 bits below the range leave out; equal
+    ids of different tokens only let more texts pass.
+    """
+    cut = np.uint64(max(0, 16 - bits))
 
     def each(batches):
-        place = np.argsort(shared.value, kind="stable")
-        known = shared.value[place]
-        written: set[tuple[int, int]] = set()
-        for part in _slices(batches):
-            sets = Sets(encoded(part["text"]), n)
-            at = np.searchsorted(known, sets.token)
-            at[at == len(known)] = 0
-            often = known[at] == sets.token if len(known) else np.zeros(len(sets.token), bool)
-            rank = np.where(often, place[at] + 1, 0) if len(known) else np.zeros(len(sets.token), np.int64)
-            salted = mixed(sets.token ^ np.uint64(_SALT))
-            digests, groups, leading = [], [], []
-            for i in range(len(part)):
-                low, high = sets.first[i], sets.first[i + 1]
-                size = int(high - low)
-                if not size:
-                    digests.append(None), groups.append(0), leading.append([])
-                    continue
-                token, frequent_here, key = sets.token[low:high], often[low:high], salted[low:high]
-                digests.append(hashlib.blake2b(token.tobytes(), digest_size=16).digest())
-                mostly = frequent_here.sum() * 5 >= size * 4
-                own = key[frequent_here if mostly else ~frequent_here]
-                band = int(np.log(size) / -step)
-                group = int(mixed(np.array([int(own.min()) ^ (band * 2 + int(mostly))], np.uint64)).view(np.int64)[0])
-                groups.append(group)
-                count = size - _needed(size, percent) + 1
-                order = np.lexsort((token, rank[low:high]))[:count]
-                lead = token[order].view(np.int64)
-                if rank[low:high][order[-1]]:         # frequent ones among them: written once per task and group
-                    seen = [(group, t) for t in lead.tolist()]
-                    hot = rank[low:high][order] > 0
-                    lead = np.array([t for (g, t), h in zip(seen, hot) if not h or (g, t) not in written], np.int64)
-                    written.update(s for s, h in zip(seen, hot) if h)
-                    if len(written) > WRITTEN:
-                        written.clear()
-                leading.append(lead)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "mark": part["mark"], "size": sets.size, "digest": digests, "grp": groups, "tokens": leading},
-                               index=part.index)
+        task, part_number = TaskContext.get().partitionId(), 0
+        seen: set[bytes] = set()
+        tokens, refs, sizes, marks, held = [], [], [], [], 0
+        blank = {"doc_id": None, "mark": None, "size": None, "digest": None, "unit": None, "range": None, "data": None}
+
+        def flush(unit: int):
+            ids = np.concatenate([*tokens, np.empty(0, np.uint64)]) >> cut
+            ref = np.concatenate([*refs, np.empty(0, np.int64)])
+            order = np.argsort(ids, kind="stable")
+            ids, ref = ids[order], ref[order]
+            unique, start, times = np.unique(ids, return_index=True, return_counts=True)
+            once = times == 1
+            again = np.repeat(~once, times)
+            place = unique >> np.uint64(48)
+            numbers, first = np.unique(place, return_index=True)
+            rows = []
+            for number, low, high in zip(numbers.tolist(), first.tolist(), [*first[1:].tolist(), len(unique)]):
+                own, single, count = unique[low:high], once[low:high], times[low:high]
+                alone = ref[start[low:high][single]]
+                rows.append({**blank, "kind": 1, "unit": unit, "range": number, "data": np.array(
+                    [single.sum(), (~single).sum()], "<u4").tobytes() + _low48(own[single]) + _low48(own[~single])
+                    + alone.astype("<u4").tobytes() + count[~single].astype("<u4").tobytes()})
+            table = np.array([len(sizes), again.sum()], "<u4").tobytes() + np.array(sizes, "<u4").tobytes() + b"".join(marks) \
+                + ids[again].astype("<u8").tobytes() + ref[again].astype("<u4").tobytes()
+            rows.append({**blank, "kind": 2, "unit": unit, "data": table})
+            return pd.DataFrame(rows)
+
+        for batch in batches:
+            for start in range(0, len(batch), SLICE):
+                part = batch.iloc[start:start + SLICE]
+                sets = Sets(encoded(part["text"]), n)
+                count, _ = _leading(sets.size, percent)
+                digests: list[bytes | None] = []
+                for i, (size, k) in enumerate(zip(sets.size.tolist(), count.tolist())):
+                    if not size:
+                        digests.append(None)
+                        continue
+                    own = sets[i]
+                    digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                    if digests[-1] in seen:
+                        continue
+                    seen.add(digests[-1])
+                    tokens.append(own[:k])
+                    refs.append(np.full(k, len(sizes), np.int64))
+                    sizes.append(size)
+                    marks.append(digests[-1])
+                    held += k
+                yield pd.DataFrame({**blank, "kind": 0, "doc_id": part["doc_id"], "mark": part["mark"], "size": sets.size, "digest": digests},
+                                   index=part.index)
+                if held > HELD:
+                    yield flush(task << 24 | part_number)
+                    part_number += 1
+                    tokens, refs, sizes, marks, held = [], [], [], [], 0
+                    seen.clear()
+        if sizes:
+            yield flush(task << 24 | part_number)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(each, f"doc_id {kind}, mark bigint, size bigint, digest binary, grp bigint, tokens array<bigint>")
+    return docs.mapInPandas(_columns(each), f"kind int, doc_id {kind}, mark bigint, size bigint, digest binary, unit bigint, range bigint, data binary")
+
+
+def _columns(function):
+    """Frames with nullable whole numbers, in the order of the schema."""
+    def each(batches):
+        for frame in function(batches):
+            for name in ("mark", "size", "unit", "range"):
+                frame[name] = frame[name].astype("Int64")
+            yield frame[["kind", "doc_id", "mark", "size", "digest", "unit", "range", "data"]]
+    return each
+
+
+def _shared(rows: pd.DataFrame) -> pd.DataFrame:
+    """For every unit the ids of one token range that occur twice or more: (id, text number or -1, occurrences)."""
+    ids, refs, times, units = [], [], [], []
+    for unit, data in zip(rows["unit"].tolist(), rows["data"]):
+        one, more = np.frombuffer(data, "<u4", 2).tolist()
+        ids.append(_from48(data, one + more, 8))
+        at = 8 + 6 * (one + more)
+        refs.append(np.concatenate([np.frombuffer(data, "<u4", one, at).astype(np.int64), np.full(more, -1)]))
+        times.append(np.concatenate([np.ones(one, np.int64), np.frombuffer(data, "<u4", more, at + 4 * one).astype(np.int64)]))
+        units.append(np.full(one + more, len(units)))
+    ids, refs, times, unit = map(np.concatenate, (ids, refs, times, units))
+    unique, back = np.unique(ids, return_inverse=True)
+    total = np.bincount(back, times, len(unique)).astype(np.int64)[back]
+    hit = total > 1
+    order = np.argsort(unit[hit], kind="stable")
+    unit, ids, refs, total = unit[hit][order], ids[hit][order], refs[hit][order], total[hit][order]
+    ids = ids | np.uint64(int(rows["range"].iloc[0]) << 48)
+    found, first = np.unique(unit, return_index=True)
+    out = []
+    for number, low, high in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(unit)]):
+        data = np.array([high - low], "<u8").tobytes() + ids[low:high].astype("<u8").tobytes() + refs[low:high].astype("<i4").tobytes() \
+            + total[low:high].astype("<u4").tobytes()
+        out.append((int(rows["unit"].iloc[number]), 3, data))
+    return pd.DataFrame(out, columns=["unit", "kind", "data"])
+
+
+def _passing(percent: int):
+    """Texts of a unit that the first bound lets pass: (digest, size, grp, tokens)."""
+    step = float(-np.log(percent / 100))
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        table = rows.loc[rows["kind"] == 2, "data"].iloc[0]
+        docs, local = np.frombuffer(table, "<u4", 2).tolist()
+        size = np.frombuffer(table, "<u4", docs, 8).astype(np.int64)
+        at = 8 + 20 * docs
+        local_id = np.frombuffer(table, "<u8", local, at)
+        local_ref = np.frombuffer(table, "<u4", local, at + 8 * local).astype(np.int64)
+        ids, refs, times = [], [], []
+        for data in rows.loc[rows["kind"] == 3, "data"]:
+            n = int(np.frombuffer(data, "<u8", 1)[0])
+            ids.append(np.frombuffer(data, "<u8", n, 8))
+            refs.append(np.frombuffer(data, "<i4", n, 8 + 8 * n).astype(np.int64))
+            times.append(np.frombuffer(data, "<u4", n, 8 + 12 * n).astype(np.int64))
+        empty = pd.DataFrame({"digest": [], "size": [], "grp": [], "tokens": []})
+        if not ids:
+            return empty
+        ids, refs, times = map(np.concatenate, (ids, refs, times))
+        # tokens that several texts of the unit have came back once
+        many = refs < 0
+        order = np.argsort(ids[many])
+        many_id, many_times = ids[many][order], times[many][order]
+        token = np.concatenate([ids[~many], local_id])
+        ref = np.concatenate([refs[~many], local_ref])
+        often = np.concatenate([times[~many], many_times[np.searchsorted(many_id, local_id)] if local else np.empty(0, np.int64)])
+        order = np.lexsort((token, often, ref))
+        token, ref = token[order], ref[order]
+        first = np.searchsorted(ref, np.arange(docs + 1))
+        # the smallest partner shares the fewest leading tokens; one less than that may be left out, the most frequent ones
+        _, least = _leading(_needed(size, percent), percent)
+        out = []
+        for i in np.flatnonzero(np.diff(first) >= least).tolist():
+            own = token[first[i]:first[i + 1] - (int(least[i]) - 1)].astype(np.uint64)
+            band = int(np.log(size[i]) / step)
+            group = mixed(np.array([int(mixed(own ^ np.uint64(_SALT)).min()) ^ band], np.uint64)).view(np.int64)[0]
+            digest = table[8 + 4 * docs + 16 * i:8 + 4 * docs + 16 * i + 16]
+            out.append((digest, int(size[i]), int(group), own.view(np.int64)))
+        return pd.DataFrame(out, columns=["digest", "size", "grp", "tokens"]) if out else empty
+    return each
 
 
 def group_pairs(sketches: DataFrame, percent: int) -> DataFrame:
     """(g, h), g < h: groups that share a row of the token-group matrix and have set sizes in reach."""
-    # tasks have merged the frequent tokens of a group, so one shuffle by token brings few rows of any
-    cells = sketches.select(F.explode("tokens").alias("token"), "grp").repartition("token")
+    cells = sketches.select(F.explode("tokens").alias("token"), "grp").distinct()
     by_token = Window.partitionBy("token")
     matrix = cells.withColumn("_low", F.min("grp").over(by_token)).withColumn("_high", F.max("grp").over(by_token))
-    matrix = settle(matrix.filter("_low < _high").select("token", "grp").distinct())
+    matrix = settle(matrix.filter("_low < _high").select("token", "grp"))
     pairs = (matrix.select("token", F.col("grp").alias("g")).join(matrix.select("token", F.col("grp").alias("h")), "token")
              .filter("g < h").select("g", "h").distinct())
     sizes = sketches.groupBy("grp").agg(F.min("size").alias("low"), F.max("size").alias("high"))
@@ -253,6 +336,7 @@ def opened(rep: np.ndarray, side: np.ndarray, known: np.ndarray, sets: list[np.n
 
 def _open_task(percent: int):
     def each(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["rep", "side"])     # rows that repeat an id and its text give the set again
         if len(rows) < 2:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sets = [np.asarray(t, np.int64).view(np.uint64) for t in rows["tokens"]]
@@ -290,14 +374,23 @@ def representatives(docs: DataFrame, n: int = 4, percent: int = 85, *, doc_id: s
 def _classes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, mark, size, root, class) for every row: hash of the text, the class's own number and its smallest id."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
-    sketches = settle(sketched(docs, n, percent, frequent_tokens(docs, n)))
+    ranges = max(64, docs.select("doc_id").count() // DOCS_PER_RANGE)
+    found = settle(postings(docs, n, percent, min(22, (ranges - 1).bit_length())))
+    sketches = found.filter("kind = 0").select("doc_id", "mark", "size", "digest")
     # one text per digest; a row whose id is null stands for it only where all ids are null
-    texts = settle(sketches.filter("size > 0").groupBy("digest", "grp", "size").agg(F.min("doc_id").alias("least"))
+    texts = settle(sketches.filter("size > 0").groupBy("digest", "size").agg(F.min("doc_id").alias("least"))
                    .withColumn("rep", F.xxhash64("digest")))
-    pairs = settle(group_pairs(sketches.filter("size > 0"), percent))
-    several = texts.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1").select("grp")
+    shared = found.filter("kind = 1").select("unit", "range", "data").groupBy("range").applyInPandas(
+        _shared, "unit bigint, kind int, data binary")
+    passing = shared.unionByName(found.filter("kind = 2").select("unit", "kind", "data")).groupBy("unit").applyInPandas(
+        _passing(percent), "digest binary, size bigint, grp bigint, tokens array<bigint>")
+    passing = settle(passing)
+    # a text may pass in several units
+    pairs = settle(group_pairs(passing, percent))
+    groups = settle(passing.groupBy("digest").agg(F.min("grp").alias("grp")).join(texts, "digest"))
+    several = groups.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1").select("grp")
     paired = pairs.select(F.col("g").alias("grp")).unionByName(pairs.select(F.col("h").alias("grp")))
-    wanted = texts.join(several.unionByName(paired).distinct(), "grp", "left_semi")
+    wanted = groups.join(several.unionByName(paired).distinct(), "grp", "left_semi")
     sizes = wanted.groupBy("grp").agg(F.count("*").alias("members"))
     wanted = settle(wanted.join(sizes, "grp").withColumn(
         "block", F.pmod(F.xxhash64("rep", F.lit(3)), F.ceil(F.col("members") / BLOCK)).cast("int")))
@@ -320,7 +413,7 @@ def _classes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
         F.struct(F.col("g").alias("grp"), F.col("x").alias("block"), F.lit(0).alias("side")),
         F.struct(F.col("h").alias("grp"), F.col("y").alias("block"), F.lit(1).alias("side")))).alias("s"))
     tasks = tasks.select("g", "x", "h", "y", F.col("s.grp").alias("grp"), F.col("s.block").alias("block"), F.col("s.side").alias("side"))
-    work = (tasks.join(sets.join(known.select("rep", "known"), "rep"), ["grp", "block"])
+    work = (tasks.join(sets.join(known.select("rep", "known").distinct(), "rep"), ["grp", "block"])
             .select("g", "x", "h", "y", "side", "rep", "known", "tokens"))
     outer = work.groupBy("g", "x", "h", "y").applyInPandas(_open_task(percent), "a bigint, b bigint")
     edges = settle(inner.unionByName(outer))
@@ -348,6 +441,4 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                                index=part.index)
 
     made = rows.mapInPandas(each, "rep bigint, grp bigint, block int, mark binary, tokens array<bigint>")
-    made = made.filter(F.xxhash64("mark") == F.col("rep")).drop("mark")
-    # rows that repeat an id and its text give the set more than once
-    return made.groupBy("rep", "grp", "block").agg(F.first("tokens").alias("tokens"))
+    return made.filter(F.xxhash64("mark") == F.col("rep")).drop("mark")
