@@ -98,11 +98,12 @@ class Codec:
         """(ids as 32-bit numbers, ids as decimal text) of every chunk."""
         pre = [self.split(p) for p in parts]
         letters = self.letters.__getitem__
-        mapped = ["".join(map(letters, t.encode("utf-8", "surrogatepass"))) for line in pre for t in line]
-        ids = iter(self.model.encode(mapped, num_threads=1)) if mapped else iter(())
+        pieces = list({t for line in pre for t in line})
+        mapped = ["".join(map(letters, t.encode("utf-8", "surrogatepass"))) for t in pieces]
+        ids = dict(zip(pieces, self.model.encode(mapped, num_threads=1))) if pieces else {}
         out = []
         for line in pre:
-            own = [i - 1 for _ in line for i in next(ids)]
+            own = [i - 1 for t in line for i in ids[t]]
             out.append((np.array(own, "<u4").tobytes(), " ".join(map(str, own)).encode()))
         return out
 

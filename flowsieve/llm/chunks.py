@@ -12,48 +12,59 @@ import re
 from collections.abc import Callable, Iterable
 
 _LONG_SPACE = re.compile(r"\s (?:\s|$)|^ \s| $")
+_SPACE_AFTER = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r"(?<!\s)(?= )|(?= \S)")
 
 
 def chunks(text: str) -> list[str]:
     """The chunks of a text; joined they give the text."""
-    if not text:
-        return []
-    if _LONG_SPACE.search(text):
+    if _SPACE_AFTER.search(text) and _LONG_SPACE.search(text):
         return [c for c in _CUT.split(text) if c]
     first, *rest = text.split(" ")
-    cut = [" " + c for c in rest]
-    return [first, *cut] if first else cut
+    rest = [" " + c for c in rest]
+    return [first, *rest] if first else rest
 
 
 class Memory:
-    """Encodings of chunks. `encode` gets distinct chunks and returns one value for each; when the table is full it is emptied."""
+    """Encodings of chunks. `encode` gets distinct chunks and returns one value for each.
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 400_000, longest: int = 64):
+    Chunks with a leading space are kept under the rest of them, which str.split gives without a copy; others have a
+    table of their own. A table that is full is emptied.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 1_000_000, longest: int = 64):
         self.encode, self.limit, self.longest = encode, limit, longest
-        self.table: dict[str, object] = {}
+        self.after_space: dict[str, object] = {}
+        self.other: dict[str, object] = {}
+
+    def _learn(self, table: dict, wanted: set[str], lead: str) -> dict:
+        """A table that holds all wanted chunks; long ones are only in the returned one."""
+        new = list(wanted.difference(table))
+        if not new:
+            return table
+        found = dict(zip(new, self.encode([lead + c for c in new])))
+        if len(table) + len(found) > self.limit:
+            kept = {c: table[c] for c in wanted if c in table}
+            table.clear()
+            table.update(kept)
+        long = [c for c in new if len(c) > self.longest]
+        if not long:
+            table.update(found)
+            return table
+        table.update((c, v) for c, v in found.items() if len(c) <= self.longest)
+        return {c: table[c] if c in table else found[c] for c in wanted}
 
     def values(self, texts: list[str]) -> list[list]:
         """For every text the values of its chunks."""
-        cut = [chunks(t) for t in texts]
-        table = self.table
-        missing = {c for part in cut for c in part if c not in table}
-        extra: dict[str, object] = {}
-        if missing:
-            order = list(missing)
-            found = dict(zip(order, self.encode(order)))
-            if len(table) + len(found) > self.limit:
-                table.clear()
-                extra = found                         # what is needed now stays for this call at least
-                missing = {c for part in cut for c in part if c not in extra}
-                if missing:
-                    order = list(missing)
-                    extra.update(zip(order, self.encode(order)))
-                table.update((c, v) for c, v in extra.items() if len(c) <= self.longest)
-                return [[extra[c] for c in part] for part in cut]
-            for c, v in found.items():
-                (table if len(c) <= self.longest else extra)[c] = v
-        if extra:
-            return [[table[c] if c in table else extra[c] for c in part] for part in cut]
-        get = table.__getitem__
-        return [list(map(get, part)) for part in cut]
+        plain, odd = [], []
+        for text in texts:
+            if _SPACE_AFTER.search(text) and _LONG_SPACE.search(text):
+                plain.append(())
+                odd.append([c for c in _CUT.split(text) if c])
+            else:
+                pieces = text.split(" ")
+                odd.append([pieces[0]] if pieces[0] else [])
+                plain.append(pieces)
+        after = self._learn(self.after_space, set().union(*[p[1:] for p in plain]), " ").__getitem__
+        other = self._learn(self.other, set().union(*odd), "").__getitem__
+        return [[*map(other, o), *map(after, p[1:])] for p, o in zip(plain, odd)]

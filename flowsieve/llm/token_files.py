@@ -21,8 +21,10 @@ each other in text order; an empty table gives no segments and an empty result.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowsieve.llm.bpe import byte_characters
 from flowsieve.llm.chunks import Memory
 from flowsieve.llm.common import worker_memory
 
@@ -37,6 +40,8 @@ BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 20
 MAGIC = b"PFR1"
+#: Fixed value: the pattern of the library's byte-level pre-tokenizer.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEADER = "<4sIII"
 
 
@@ -129,18 +134,48 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return grid.reshape(-1)[:n].astype("<u4"), lengths
 
 
+def _encoder(tokenizer: str):
+    """Ids, as 32-bit numbers, of distinct chunks.
+
+    The library's whole encode() makes offsets and token strings for every chunk. Where its settings are plain byte-level BPE,
+    chunks are cut by its pattern here, and each distinct pre-token goes through its BPE model once.
+    """
+    import regex
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_str(tokenizer)
+    settings = json.loads(tokenizer)
+    special = [t["content"] for t in settings["added_tokens"]]
+    before = settings["pre_tokenizer"] or {}
+    plain = (settings["normalizer"] is None and settings["post_processor"] is None and settings["model"]["type"] == "BPE"
+             and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex"))
+    cut, model, letters = regex.compile(BYTE_LEVEL_PATTERN).findall, library.model, byte_characters().__getitem__
+
+    def encode(parts: list[str]) -> list[bytes]:
+        if not plain:
+            return [array("I", e.ids).tobytes() for e in library.encode_batch(parts, add_special_tokens=False)]
+        pieces: dict[str, bytes] = {}
+        out = []
+        for part in parts:
+            if any(s in part for s in special):
+                out.append(array("I", library.encode(part, add_special_tokens=False).ids).tobytes())
+                continue
+            own = []
+            for piece in cut(part):
+                if piece not in pieces:
+                    mapped = "".join(map(letters, piece.encode("utf-8", "surrogatepass")))
+                    pieces[piece] = array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
+                own.append(pieces[piece])
+            out.append(b"".join(own))
+        return out
+
+    return encode
+
+
 def _memory(tokenizer: str) -> Memory:
     """The worker's encoder with its table of chunks; `tokenizer` is the content of a tokenizers file."""
     kept = worker_memory()
     if kept.get("tokenizers", (None,))[0] != tokenizer:
-        from tokenizers import Tokenizer
-        library = Tokenizer.from_str(tokenizer)
-
-        def encode(parts: list[str]) -> list[bytes]:
-            found = library.encode_batch(parts, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-        kept["tokenizers"] = tokenizer, Memory(encode)
+        kept["tokenizers"] = tokenizer, Memory(_encoder(tokenizer))
     return kept["tokenizers"][1]
 
 
