@@ -40,10 +40,10 @@ from flowsieve.llm.words import Words, encoded, mixed
 from flowsieve.session import settle
 
 #: Postings that a task holds before it writes them; documents per token range, which sets the number of ranges.
-HELD = 1 << 21
+HELD = 1 << 20
 DOCS_PER_RANGE = 2000
 BLOCK = 500
-SLICE = 400
+SLICE = 200
 _SALT = 0x5851F42D4C957F2D
 
 
