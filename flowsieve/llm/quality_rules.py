@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from flowsieve.llm.common import held_small, packed, per_text
 from flowsieve.llm.words import Words, encoded
@@ -155,7 +156,7 @@ def thresholds(rows: DataFrame, by: tuple[str, str]) -> DataFrame:
     return joined.select(lang, source, chosen.alias("limits"))
 
 
-@F.pandas_udf("struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">")
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
 def counts_of(texts: pd.Series) -> pd.DataFrame:
     parts = [text_counts(texts.iloc[i:i + 500]) for i in range(0, len(texts), 500)]
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in COUNTS}, dtype="int64")

@@ -221,7 +221,7 @@ def _passing(percent: int):
             ids.append(np.frombuffer(data, "<u8", n, 8))
             refs.append(np.frombuffer(data, "<i4", n, 8 + 8 * n).astype(np.int64))
             times.append(np.frombuffer(data, "<u4", n, 8 + 12 * n).astype(np.int64))
-        empty = pd.DataFrame({"digest": [], "size": [], "grp": [], "tokens": []})
+        empty = pd.DataFrame(columns=["digest", "size", "grp", "tokens"], dtype=object)
         if not ids:
             return empty
         ids, refs, times = map(np.concatenate, (ids, refs, times))
