@@ -153,7 +153,7 @@ def flows_assemble(spark, d):
 @query("flows_assemble_split", with_(*sql.FLOW_PARTS, select=f"SELECT {sql.FLOW_COLUMNS} FROM flows"))
 def flows_assemble_split(spark, d):
     """Same flows with every key above 40 packets treated as too large for one task."""
-    return flows.assemble(accepted(spark, d), OPTS.updated({"hot_key_rows": 40}), small_input_bytes=0)
+    return flows.assemble(accepted(spark, d), OPTS.updated({"hot_key_rows": 40}))
 
 
 @query("flow_orientation", with_(*sql.FLOW_PARTS, select="SELECT flow_id, src_ip, src_port, dst_ip, dst_port FROM flows"))
@@ -268,10 +268,9 @@ def novelty_threshold(spark, d):
     return spark.range(1).select(F.round(F.lit(quantiles(benign, ["anomaly_score"], 0.01)["anomaly_score"]), 6).alias("threshold"))
 
 
-@query("whitelist_flag", with_(*sql.FLOW_PARTS, select="SELECT flow_id, src_ip, src_ip IN (SELECT concat('10.0.0.', c_custkey % 40 + 1) FROM customer WHERE c_custkey < 60) AS whitelisted FROM flows"))
+@query("whitelist_flag", with_(*sql.FLOW_PARTS, select="SELECT flow_id, src_ip, src_ip IN (SELECT concat('10.0.0.', c_custkey % 40 + 1) FROM customer) AS whitelisted FROM flows"))
 def whitelist_flag(spark, d):
-    hosts = (fx.table(spark, d, "customer").filter("c_custkey < 60")
-             .select(F.concat(F.lit("10.0.0."), F.col("c_custkey") % 40 + 1).alias("ip")))
+    hosts = fx.table(spark, d, "customer").select(F.concat(F.lit("10.0.0."), F.col("c_custkey") % 40 + 1).alias("ip")).distinct()
     return policy.whitelist_flag(flow_rows(spark, d), OPTS, "src_ip", hosts).select("flow_id", "src_ip", "whitelisted")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.addresses import ip_family
@@ -81,14 +81,20 @@ def active(state: DataFrame, now_us: int) -> DataFrame:
 def enforce(packets: DataFrame, block_intervals: DataFrame, opts: Options) -> DataFrame:
     """Adds `dropped`: the packet's source is inside one of its block intervals.
 
-    The intervals of an address do not overlap, so a packet meets at most one. Intervals with an end
-    are looked up by (address, time slice), which also spreads a busy address over its slices; the
+    Intervals of an address that touch or overlap are merged first, so a packet meets at most one and a
+    flood of blocks on one address leaves few. Intervals with an end are looked up by (address, time slice), which also spreads a busy address over its slices; the
     one open-ended interval an address can have is looked up by address.
     """
     block_intervals = settle(block_intervals)
     width = F.lit(opts.block_us if opts.block_us > 0 else DAY_US)
     slice_of = lambda c: F.floor(c / width).cast("bigint")
-    ended = (block_intervals.filter("end_us IS NOT NULL AND end_us > blocked_at_us")
+    by_ip = Window.partitionBy("ip").orderBy("blocked_at_us", "end_us")
+    reached = F.max("end_us").over(by_ip.rowsBetween(Window.unboundedPreceding, -1))
+    begins = (reached.isNull() | (F.col("blocked_at_us") > reached)).cast("int")
+    merged = (block_intervals.filter("end_us IS NOT NULL AND end_us > blocked_at_us").withColumn("begins", begins)
+              .withColumn("island", F.sum("begins").over(by_ip.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+              .groupBy("ip", "island").agg(F.min("blocked_at_us").alias("blocked_at_us"), F.max("end_us").alias("end_us")))
+    ended = (merged
              .select("ip", F.col("blocked_at_us").alias("from_us"), "end_us",
                      F.explode(F.sequence(slice_of(F.col("blocked_at_us")), slice_of(F.col("end_us") - 1)))
                      .alias("slice")))

@@ -52,12 +52,15 @@ def minmax_fit(rows: DataFrame, names: list[str] = FEATURES) -> DataFrame:
 
 
 def minmax_apply(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    """(x - low) / (high - low); a constant feature gives 0; values outside the fit are not clipped.
+    """(x - low) / (high - low); a constant feature gives 0, one without numbers null; values outside the fit are not clipped.
 
     The fitted statistics are one row per feature, so they enter the plan as constants.
     """
     scaled = {}
     for row in stats.collect():
+        if row["low"] is None:   # no number was seen, so none can be scaled
+            scaled[row["feature"]] = F.lit(None).cast("double")
+            continue
         span = row["high"] - row["low"]
         x = F.col(row["feature"]).cast("double")
         scaled[row["feature"]] = (x - F.lit(row["low"])) / F.lit(span if span != 0 else 1.0)

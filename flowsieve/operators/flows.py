@@ -21,13 +21,11 @@ from flowsieve.functions.text import has_bit
 from flowsieve.operators.filters import valid_ports
 from flowsieve.operators.thinning import greedy_chain
 from flowsieve.options import Options
-from flowsieve.session import estimated_bytes, settle
+from flowsieve.session import settle
 
 KEY = ["lo", "hi", "protocol"]
 SUMS = ["lo_packets", "hi_packets", "lo_bytes", "hi_bytes", "syn_count", "ack_count", "fin_count", "rst_count"]
 FIRST = ["lo_first", "hi_first"]
-# below this estimated input size no key can be hot enough to matter, so it is not even counted
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
 
 
 def flow_key(packets: DataFrame) -> DataFrame:
@@ -154,11 +152,9 @@ def oriented(segments: DataFrame) -> DataFrame:
         "syn_count", "ack_count", "fin_count", "rst_count")
 
 
-def assemble(packets: DataFrame, opts: Options, small_input_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
+def assemble(packets: DataFrame, opts: Options) -> DataFrame:
     """Packets to completed flows, one row per segment; `flow_id` is the first packet's id."""
     rows = keyed(packets)
-    if estimated_bytes(rows) <= small_input_bytes:
-        return oriented(_ordinary_segments(rows, opts))
     hot = settle(rows.groupBy(*KEY).count().filter(F.col("count") > opts.hot_key_rows).select(*KEY))
     if hot.isEmpty():
         return oriented(_ordinary_segments(rows, opts))

@@ -61,7 +61,7 @@ class Options:
     notify_cooldown: float = 10.0
     # skew control: a flow key (or notification channel) with more rows than this is
     # split over time ticks instead of being ordered in one task
-    hot_key_rows: int = 5_000_000
+    hot_key_rows: int = 200_000
     tick_seconds: float = 1.0
 
     @property

@@ -59,12 +59,6 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's upper estimate of a result's size, used before choosing a small-data strategy."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes())
-
-
 def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """Broadcast a join side only after counting it; a larger one is left to a shuffled join."""
     held = settle(df)

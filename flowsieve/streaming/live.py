@@ -61,6 +61,8 @@ class Live:
 
     def _events(self, outcome: Outcome, batch_id: int) -> None:
         path = f"{self.folder}/events/batch={batch_id}"
+        if finished(self.spark, path):     # a retried batch: readers have seen these files already
+            return
         ev.encode(outcome.events).write.mode("overwrite").partitionBy("type", "day").text(path)
 
     def _blocks(self, outcome: Outcome, batch_id: int) -> None:
@@ -90,6 +92,12 @@ class Live:
         return self.spark.read.parquet(f"{self.folder}/outbox")
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder has been committed."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def tail_events(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """Event-log stream: only files not seen before, offsets kept in the query's checkpoint."""
     lines = (spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("latestFirst", False)

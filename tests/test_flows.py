@@ -92,7 +92,7 @@ def test_random_traffic_with_a_hot_key_on_both_paths(spark, seed):
     assert shown(flows.assemble(table(spark, rows), opts)) == want
     for limit, tick in ((100, 7.0), (10, 1000.0)):
         split = opts.updated({"hot_key_rows": limit, "tick_seconds": tick})
-        assert shown(flows.assemble(table(spark, rows), split, small_input_bytes=0)) == want
+        assert shown(flows.assemble(table(spark, rows), split)) == want
     assert sum(r[5] + r[6] for r in want) == len(rows)
 
 

@@ -203,3 +203,25 @@ def test_options(tmp_path):
                                                        "FLOWSIEVE_PREVENT_MODE": "yes"})
     assert (opts.flow_idle_timeout, opts.honeypot_ports, opts.prevent_mode) == (5, [23, 2323], True)
     assert Options.load(env={}) == Options()
+
+
+def test_enforce_equals_brute_force_on_overlapping_intervals(spark):
+    import random
+    from flowsieve.operators import blocks
+    from flowsieve.options import Options
+    rng = random.Random(8)
+    made = [(f"a{rng.randint(0, 2)}", start := rng.randint(0, 900), start + rng.choice([1, 30, 90])) for _ in range(60)] + [("a1", 950, None)]
+    packets = [(i, f"a{rng.randint(0, 3)}", rng.randint(0, 1000)) for i in range(800)]
+    intervals = spark.createDataFrame(made, "ip string, blocked_at_us long, end_us long")
+    found = blocks.enforce(spark.createDataFrame(packets, "packet_id long, src_ip string, ts_us long"), intervals,
+                           Options().updated({"block_timeout": 0.00005})).collect()
+    assert len(found) == len(packets)
+    for r in found:
+        assert r["dropped"] == any(ip == r["src_ip"] and a <= r["ts_us"] and (b is None or r["ts_us"] < b) for ip, a, b in made)
+
+
+def test_feature_without_numbers_scales_to_null(spark):
+    from flowsieve.operators import features
+    rows = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
+    scaled = features.minmax_apply(rows, features.minmax_fit(rows, ["a", "b"])).collect()
+    assert [tuple(r) for r in scaled] == [(0.0, None), (1.0, None)]
