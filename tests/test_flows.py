@@ -49,10 +49,11 @@ def shown(df):
 
 
 def test_direction_flags_and_duration(spark):
-    rows = [packet(1, 0.0, flags=2), reply(2, 0.1, flags=18), packet(3, 0.2, flags=16)]
+    rows = [reply(21, 4.0, flags=0x12, size=60), packet(22, 4.5, flags=0x11, size=52), reply(23, 4.75, flags=0x14, size=40),
+            packet(24, 6.0, flags=0x08, size=90), reply(25, 8.0, flags=0x01, size=44)]
     f = features.extract(flows.assemble(table(spark, rows), Options())).first()
-    assert (f.fwd_packets, f.bwd_packets, f.syn_count, f.ack_count, f.fin_count, f.rst_count) == (2, 1, 2, 2, 0, 0)
-    assert f.flow_duration == pytest.approx(0.2) and f.dst_port == 80 and f.packets_per_second == pytest.approx(15.0)
+    assert (f.fwd_packets, f.bwd_packets, f.syn_count, f.ack_count, f.fin_count, f.rst_count) == (3, 2, 1, 3, 2, 1)
+    assert f.flow_duration == pytest.approx(4.0) and f.dst_port == 12345 and f.packets_per_second == pytest.approx(1.25)
 
 
 def test_first_packet_orients_and_ports_guard(spark):

@@ -22,16 +22,15 @@ def outcome(spark, opts=Options(), **values):
     return policy.decide(df, opts).select("decision.*").first()
 
 
+# around every limit: 100 SYNs, confidence 0.90
 @pytest.mark.parametrize("values, action, source", [
-    (dict(label="ANOMALY", confidence=0.99, alert=True), "block", "model"),
-    (dict(label="ANOMALY", confidence=0.90, alert=True), "block", "model"),
-    (dict(label="ANOMALY", confidence=0.60, alert=True), "alert", "model"),
-    (dict(alert=True, novelty=True), "alert", "novelty"),
-    (dict(label="ANOMALY", confidence=1.0, alert=True, probe=True), "block", "honeypot"),
-    (dict(syn_count=1000, bwd_packets=0, confidence=0.52), "block", "rule"),
-    (dict(syn_count=1000, bwd_packets=500), "allow", "model"),
-    (dict(syn_count=2000, bwd_packets=2000, rst_count=2000), "block", "rule"),
-    (dict(syn_count=50, bwd_packets=0), "allow", "model"), (dict(), "allow", "model")])
+    (dict(syn_count=99, bwd_packets=0), "allow", "model"), (dict(syn_count=100, bwd_packets=0), "block", "rule"),
+    (dict(syn_count=101, bwd_packets=0), "block", "rule"), (dict(syn_count=101, bwd_packets=101), "allow", "model"),
+    (dict(label="ANOMALY", confidence=0.8999, alert=True), "alert", "model"),
+    (dict(label="ANOMALY", confidence=0.9, alert=True), "block", "model"),
+    (dict(label="ANOMALY", confidence=0.9001, alert=True), "block", "model"),
+    (dict(label="ANOMALY", confidence=0.9001, alert=True, probe=True), "block", "honeypot"),
+    (dict(confidence=0.7, alert=True, novelty=True), "alert", "novelty"), (dict(confidence=0.7), "allow", "model")])
 def test_rules(spark, values, action, source):
     d = outcome(spark, **values)
     assert (d.action, d.source, d.attacker_ip) == (action, source, "10.0.0.1")
@@ -44,10 +43,13 @@ def test_whitelist_comes_first(spark):
     assert (d.action, d.source, d.confidence) == ("allow", "whitelist", 1.0)
 
 
-def test_probe_without_flow(spark):
-    probes = spark.createDataFrame([(7, 5, "5.6.7.8", 2323)], "flow_id bigint, ts_us bigint, ip string, port int")
-    d = policy.decide(policy.probe_verdicts(probes), Options()).select("decision.*").first()
-    assert (d.action, d.attacker_ip, d.source) == ("block", "5.6.7.8", "honeypot")
+def test_probes_block_their_source_only(spark):
+    seen = [(40, 900, "192.0.2.77", 161), (41, 901, "198.51.100.3", 8081)]
+    probes = spark.createDataFrame(seen, "flow_id bigint, ts_us bigint, ip string, port int")
+    opts = Options(whitelist=["198.51.100.3"])
+    found = policy.decide(policy.probe_verdicts(probes), opts).select("decision.*").collect()
+    assert sorted((d.attacker_ip or "", d.action, d.source) for d in found) == [
+        ("192.0.2.77", "block", "honeypot"), ("198.51.100.3", "allow", "whitelist")]
 
 
 def test_class_ties_and_missing_detector(spark):
