@@ -22,11 +22,11 @@ def clean_rows(spark, d: str) -> DataFrame:
     return corpus.clean(fx.corpus(spark, d), "row_id", "draw", "source_file")
 
 
-def _csv(spark, d: str) -> DataFrame:
+def _csv_folder(spark, d: str) -> str:
     path = scratch_path(spark, "corpus")
     name = F.regexp_replace("source_file", r"\.csv$", "_cleaned.csv")
     csv_files.write_csv(fx.corpus(spark, d).withColumn("source_file", name).drop("row_id", "draw"), path)
-    return csv_files.scan_csv(spark, path)
+    return path
 
 
 @query("corpus_scan", with_(sql.CORPUS, select="""
@@ -35,12 +35,24 @@ SELECT replace(source_file, '.csv', '_cleaned.csv') AS source_file, CASE WHEN up
 FROM corpus GROUP BY ALL"""))
 def corpus_scan(spark, d):
     """The corpus written as one CSV folder per file and read back by the labelled CSV scan."""
-    rows = _csv(spark, d).withColumn("label", binary_label(F.col("Label")))
+    rows = csv_files.scan_csv(spark, _csv_folder(spark, d)).withColumn("label", binary_label(F.col("Label")))
     return rows.groupBy("source_file", "label").agg(
         F.count("*").alias("n"), F.count("flow_duration").alias("durations"),
         F.sum(F.col("forward_bytes").cast("bigint")).alias("forward_bytes"), F.sum(F.col("syn_count").cast("bigint")).alias("syn_count"))
 
 
+@query("corpus_csv_split", with_(sql.CORPUS, select="""
+SELECT label, CAST(n AS BIGINT) AS n, CAST(n - ceil(n * 30 / 100) AS BIGINT) AS train, CAST(ceil(n * 30 / 100) - ceil(ceil(n * 30 / 100) / 2) AS BIGINT) AS valid,
+  CAST(ceil(ceil(n * 30 / 100) / 2) AS BIGINT) AS test
+FROM (SELECT label, sum(least(n, 400)) AS n FROM (
+  SELECT source_file, CASE WHEN upper(trim(Label)) = 'BENIGN' THEN 'BENIGN' ELSE 'ANOMALY' END AS label, count(*) AS n FROM corpus GROUP BY ALL) GROUP BY label)"""))
+def corpus_csv_split(spark, d):
+    """From CSV files to capped and split training rows: how many of each class go where."""
+    rows = corpus.clean(csv_files.training_rows(spark, _csv_folder(spark, d)), "row_id", "draw", "source_file")
+    split = split_rows(corpus.capped(rows, 400), "label")
+    return split.groupBy("label").agg(F.count("*").alias("n"), *[F.count_if(F.col("split") == s).alias(s) for s in ("train", "valid", "test")])
+
+
 @query("corpus_project", with_(sql.CORPUS, select="SELECT row_id, " + ", ".join(
     f"{'round(' + c + ', 6)' if c in ('flow_duration', 'packets_per_second') else c} AS {f}" for f, c in sql._MAP) + ", Label AS raw_label FROM corpus"))
 def corpus_project(spark, d):

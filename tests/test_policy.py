@@ -4,12 +4,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flowsieve import Options
+from flowsieve import Options, schemas
 from flowsieve.functions import addresses, text
 from flowsieve.operators import blocks, explain, metrics, notify, policy, selection
 from flowsieve.plans.detection import decide_flows
 from flowsieve.sources import blocks as block_files
-from flowsieve.sources import events
+from flowsieve.sources import corpus, events
 
 FLOW = ("flow_id bigint, src_ip string, syn_count bigint, bwd_packets bigint, rst_count bigint, label string, "
         "confidence double, alert boolean, novelty boolean, probe boolean")
@@ -227,3 +227,25 @@ def test_feature_without_numbers_scales_to_null(spark):
     rows = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
     scaled = features.minmax_apply(rows, features.minmax_fit(rows, ["a", "b"])).collect()
     assert [tuple(r) for r in scaled] == [(0.0, None), (1.0, None)]
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    names = schemas.CORPUS.names
+    line = lambda order, row: ",".join(str(row.get(n, n)) for n in order)
+    first, other = names, ["extra", *reversed(names[1:])]        # the other file lacks the first column
+    rows = [{n: i * 100 + k for k, n in enumerate(names)} | {"Label": " benign " if i % 2 else "DDoS"} for i in range(6)]
+    (tmp_path / "a_cleaned.csv").write_text("\n".join([",".join(first), *[line(first, r) for r in rows[:3]]]) + "\n")
+    (tmp_path / "b_cleaned.csv").write_text("\n".join([", ".join(other), *[line(other, r) for r in rows[3:]]]) + "\n")
+    (tmp_path / "c_cleaned.csv").write_text("")
+    found = {(r["source_file"], r[names[1]]): r.asDict() for r in corpus.scan_csv(spark, str(tmp_path)).collect()}
+    assert len(found) == 6
+    for i, row in enumerate(rows):
+        name = "a_cleaned.csv" if i < 3 else "b_cleaned.csv"
+        want = {n: str(row[n]) for n in names} | {"source_file": name} | ({} if i < 3 else {names[0]: None})
+        got = found[name, str(row[names[1]])]
+        assert {k: v and v.strip() for k, v in got.items()} == {k: v and v.strip() for k, v in want.items()}
+    numbered = corpus.training_rows(spark, str(tmp_path), seed=5).collect()
+    assert len({r["row_id"] for r in numbered}) == 6 and all(0 <= r["draw"] < selection.DRAWS for r in numbered)
+    (tmp_path / "d_cleaned.csv").write_text("x,y\n1,2\n")
+    with pytest.raises(ValueError):
+        corpus.scan_csv(spark, str(tmp_path))
