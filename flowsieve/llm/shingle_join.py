@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import held_small, packed
+from flowsieve.llm.common import BROADCAST_ROWS, held_small, packed
 from flowsieve.llm.graph import components
 from flowsieve.llm.words import Words, encoded, mixed
 from flowsieve.session import settle
@@ -43,6 +43,7 @@ from flowsieve.session import settle
 HELD = 1 << 20
 DOCS_PER_RANGE = 2000
 BLOCK = 500
+LARGE = 50 * BLOCK
 SLICE = 200
 _SALT = 0x5851F42D4C957F2D
 
@@ -388,11 +389,10 @@ def _classes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
     # a text may pass in several units
     pairs = settle(group_pairs(passing, percent))
     groups = settle(passing.groupBy("digest").agg(F.min("grp").alias("grp")).join(texts, "digest"))
-    several = groups.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1").select("grp")
-    paired = pairs.select(F.col("g").alias("grp")).unionByName(pairs.select(F.col("h").alias("grp")))
-    wanted = groups.join(several.unionByName(paired).distinct(), "grp", "left_semi")
-    sizes = wanted.groupBy("grp").agg(F.count("*").alias("members"))
-    wanted = settle(wanted.join(sizes, "grp").withColumn(
+    paired = pairs.select(F.col("g").alias("grp")).unionByName(pairs.select(F.col("h").alias("grp"))).distinct()
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("members"))
+    sizes = sizes.join(paired.withColumn("paired", F.lit(True)), "grp", "left").filter("members > 1 OR paired").drop("paired")
+    wanted = settle(_sized(groups, settle(sizes)).withColumn(
         "block", F.pmod(F.xxhash64("rep", F.lit(3)), F.ceil(F.col("members") / BLOCK)).cast("int")))
     sets = settle(_whole_sets(docs, wanted, n))
 
@@ -426,6 +426,19 @@ def _classes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
             .select("doc_id", "mark", "size", "root", "class"))
 
 
+def _sized(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Texts of the groups in `sizes` with their group's number of members.
+
+    A short table of groups is copied to the texts. Otherwise only large groups are, as there are few of them, and no task of the
+    join by group gets more than LARGE texts of one.
+    """
+    if sizes.count() <= BROADCAST_ROWS:
+        return groups.join(F.broadcast(sizes), "grp")
+    large = held_small(sizes.filter(F.col("members") > LARGE))
+    return groups.join(large, "grp").unionByName(
+        groups.join(large, "grp", "left_anti").join(sizes.filter(F.col("members") <= LARGE), "grp"))
+
+
 def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(rep, grp, block, tokens): the sets of the wanted texts, read again from one document of each."""
     ids = held_small(wanted.select(F.col("least").alias("doc_id"), "rep", "grp", "block"))

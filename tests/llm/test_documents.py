@@ -306,6 +306,15 @@ def test_similar_equals_brute_force(spark, odd, docs, which):
     assert len(kept) == len({k for s, k in zip(sets, roots) if s}) + sum(not s for s in sets)
 
 
+def test_large_groups_without_a_copied_table(spark, docs, monkeypatch):
+    """The ways for tables of groups that are too long to copy give the same classes."""
+    table = edited(spark, docs)
+    want = collections.Counter(tuple(r) for r in rows(shingle_join.similar(table)))
+    monkeypatch.setattr(shingle_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shingle_join, "LARGE", 2)
+    assert collections.Counter(tuple(r) for r in rows(shingle_join.similar(table))) == want
+
+
 def test_similar_empty_and_clashing(empty, clashing):
     assert rows(shingle_join.similar(empty)) == [] and rows(shingle_join.representatives(empty)) == []
     assert shingle_join.representatives(clashing).columns == clashing.columns
