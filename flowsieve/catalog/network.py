@@ -419,7 +419,7 @@ def enforce_passed(spark, d):
     return _enforced(spark, d).filter("NOT dropped").select("packet_id", "ts_us", "src_ip")
 
 
-_ACCEPTED_NOTES = """queue AS (SELECT *, row_number() OVER (ORDER BY blocked_at_us, flow_id) AS rn FROM blocks),
+ACCEPTED_NOTES = """queue AS (SELECT *, row_number() OVER (ORDER BY blocked_at_us, flow_id) AS rn FROM blocks),
 notes AS (
   SELECT rn, flow_id, ip, source, reason, blocked_at_us AS ts_us, blocked_at_us AS clock, true AS ok FROM queue WHERE rn = 1
   UNION ALL
@@ -433,19 +433,19 @@ def _notes(spark, d):
     return notify.accepted(notify.requests(block_rows(spark, d), OPTS), OPTS)
 
 
-@query("notify_accept", with_(*sql.BLOCK_PARTS, _ACCEPTED_NOTES, select="SELECT 'outbox' AS channel, ts_us, flow_id, ip FROM notes WHERE ok"))
+@query("notify_accept", with_(*sql.BLOCK_PARTS, ACCEPTED_NOTES, select="SELECT 'outbox' AS channel, ts_us, flow_id, ip FROM notes WHERE ok"))
 def notify_accept(spark, d):
     return _notes(spark, d).select("channel", "ts_us", "flow_id", "ip")
 
 
-@query("notify_accept_doubling", with_(*sql.BLOCK_PARTS, _ACCEPTED_NOTES, select="SELECT 'outbox' AS channel, ts_us, flow_id, ip FROM notes WHERE ok"))
+@query("notify_accept_doubling", with_(*sql.BLOCK_PARTS, ACCEPTED_NOTES, select="SELECT 'outbox' AS channel, ts_us, flow_id, ip FROM notes WHERE ok"))
 def notify_accept_doubling(spark, d):
     """Same notifications, with the channel treated as too large for one task."""
     asked = notify.requests(block_rows(spark, d), OPTS)
     return notify.accepted(asked, OPTS, fold_rows=0).select("channel", "ts_us", "flow_id", "ip")
 
 
-@query("notify_outbox", with_(*sql.BLOCK_PARTS, _ACCEPTED_NOTES, select="""
+@query("notify_outbox", with_(*sql.BLOCK_PARTS, ACCEPTED_NOTES, select="""
 SELECT 'outbox' AS channel, flow_id, concat('**IP BLOCKED:** ', ip, chr(10), 'Reason: ', regexp_replace(reason, '[0-9]+[.][0-9]+', '#', 'g'), chr(10),
   'Source: ', source, ' | ', strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M:%S')) AS message FROM notes WHERE ok"""))
 def notify_outbox(spark, d):
@@ -453,7 +453,7 @@ def notify_outbox(spark, d):
     return notify.outbox(plain).select("channel", "flow_id", "message")
 
 
-@query("notify_counts", with_(*sql.BLOCK_PARTS, _ACCEPTED_NOTES, select="SELECT 'outbox' AS channel, count(*) AS accepted, count(*) FILTER (flow_id % 5 <> 0) AS sent FROM notes WHERE ok"))
+@query("notify_counts", with_(*sql.BLOCK_PARTS, ACCEPTED_NOTES, select="SELECT 'outbox' AS channel, count(*) AS accepted, count(*) FILTER (flow_id % 5 <> 0) AS sent FROM notes WHERE ok"))
 def notify_counts(spark, d):
     status = F.when(F.col("flow_id") % 5 == 0, F.lit("failed")).otherwise(F.lit("sent"))
     return notify.counters(_notes(spark, d).withColumn("status", status))

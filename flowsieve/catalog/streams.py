@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowsieve import fixtures as fx
 from flowsieve.catalog import sql
-from flowsieve.catalog.network import OPTS, accepted
+from flowsieve.catalog.network import ACCEPTED_NOTES, OPTS, accepted
 from flowsieve.catalog.registry import query
 from flowsieve.catalog.sql import with_
 from flowsieve.operators import blocks as bl
@@ -19,6 +19,9 @@ from flowsieve.streaming import flows as sf
 from flowsieve.streaming import live
 
 DELAY = "1 hour"
+HOUR_US = 3_600_000_000
+# the queries look at the blocks of a past time
+KEEP_EXPIRED_US = 30 * 86_400_000_000
 SLICE_US = 10 * 86_400_000_000
 
 
@@ -86,8 +89,10 @@ def stream_decide(spark, d):
 
 @functools.lru_cache(maxsize=4)
 def _live(spark, d: str) -> live.Live:
-    job = live.Live(spark, scratch_path(spark, "live"), OPTS, lambda flows: _verdicts(flows).drop("probe"))
+    job = live.Live(spark, scratch_path(spark, "live"), OPTS, lambda flows: _verdicts(flows).drop("probe"),
+                    delay_us=HOUR_US, keep_expired_us=KEEP_EXPIRED_US)
     job.start(_flows(spark, d)).awaitTermination()
+    job.flush()
     return job
 
 
@@ -108,9 +113,12 @@ def stream_blocks(spark, d):
     return bl.active(_live(spark, d).blocks.current(), fx.NOW_US).drop("reason", "source")
 
 
-@query("stream_notify")
+@query("stream_notify", with_(*sql.VERDICT_PARTS, _LIVE, """blocks AS (
+  SELECT ip, flow_id, blocked_at_us, NULL AS source, NULL AS reason FROM live_blocks)""", ACCEPTED_NOTES, select="""
+SELECT 'outbox' AS channel, ts_us, flow_id, ip FROM notes WHERE ok"""))
 def stream_notify(spark, d):
-    return _live(spark, d).outbox().select("channel", "ts_us", "flow_id", "ip", "message")
+    """The cooldown over the live job's blocks in time order; the text of messages is checked by `notify_outbox`."""
+    return _live(spark, d).outbox().select("channel", "ts_us", "flow_id", "ip")
 
 
 @query("stream_probes", with_(*sql.VERDICT_PARTS, _LIVE, select="""

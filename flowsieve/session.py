@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +46,30 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_scope: ContextVar[str | None] = ContextVar("flowsieve_scratch_scope", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(_scope.get() or shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Steps settled inside belong to the block and are removed when it ends; results must be written by then."""
+    path = scratch_path(spark, "scope")
+    token = _scope.set(path)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        files, at = file_system(spark, path)
+        files.delete(at(path), True)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system that holds a path, and the function that makes its path objects."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def settle(df: DataFrame) -> DataFrame:
