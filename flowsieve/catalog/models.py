@@ -2,50 +2,46 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from flowsieve import fixtures as fx
 from flowsieve.catalog.corpus import clean_rows
 from flowsieve.catalog.network import OPTS, feature_rows, six
-from flowsieve.catalog.registry import query
+from flowsieve.catalog.registry import query, shared_per_input
 from flowsieve.operators import contributions, corpus, policy, training
 from flowsieve.plans import compare, detection
 from flowsieve.schemas import FEATURES
 from flowsieve.session import scratch_path, settle
 from flowsieve.sources import events, reports
 
-# fewer and lower trees than the defaults of the library, so that a query is a matter of seconds
-SETTINGS = training.Settings(trees=20, max_depth=8)
-ISOLATION_TREES = 100
-SVM_EPOCHS = 20
+# the quick mode: 100 trees; the other settings are the library's own
+SETTINGS = training.Settings(quick=True)
 
 
-@functools.lru_cache(maxsize=4)
+@shared_per_input
 def _rows(spark, d: str):
     return training.prepare(clean_rows(spark, d), SETTINGS)
 
 
-@functools.lru_cache(maxsize=4)
+@shared_per_input
 def _stats(spark, d: str):
     return settle(corpus.standard_fit(_rows(spark, d).filter("split = 'train'")))
 
 
-@functools.lru_cache(maxsize=4)
+@shared_per_input
 def _forest(spark, d: str):
     return training.fit_forest(_rows(spark, d), _stats(spark, d), SETTINGS)
 
 
-@functools.lru_cache(maxsize=4)
+@shared_per_input
 def _isolation(spark, d: str):
-    return training.fit_isolation(_rows(spark, d), SETTINGS, ISOLATION_TREES)
+    return training.fit_isolation(_rows(spark, d), SETTINGS)
 
 
-@functools.lru_cache(maxsize=4)
+@shared_per_input
 def _comparison(spark, d: str):
     path = scratch_path(spark, "models")
-    result = compare.run(clean_rows(spark, d), SETTINGS, path, ISOLATION_TREES, SVM_EPOCHS)
+    result = compare.run(clean_rows(spark, d), SETTINGS, path)
     return path, result
 
 
@@ -90,7 +86,7 @@ def score_isolation(spark, d):
 
 @query("train_oneclass")
 def train_oneclass(spark, d):
-    found = training.fit_oneclass(_rows(spark, d), SETTINGS, SVM_EPOCHS)
+    found = training.fit_oneclass(_rows(spark, d), SETTINGS)
     return policy.flag_novelty(found.score(_test(spark, d)), found.threshold).select("row_id", "label", "anomaly_score", "novelty")
 
 

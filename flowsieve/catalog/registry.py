@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowsieve.session import file_system
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -18,3 +21,19 @@ def query(name: str, sql: str | None = None):
             ORACLES[name] = sql
         return function
     return register
+
+
+def shared_per_input(function: Query) -> Query:
+    """Queries of one session over the same unchanged files share a fitted model or a finished stream."""
+    held: dict[tuple, object] = {}
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, d: str):
+        files, at = file_system(spark, d)
+        state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(at(d))))
+        key = (spark.sparkContext.applicationId, d, state)
+        if key not in held:
+            held.clear()
+            held[key] = function(spark, d)
+        return held[key]
+    return run

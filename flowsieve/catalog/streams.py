@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from flowsieve import fixtures as fx
 from flowsieve.catalog import sql
 from flowsieve.catalog.network import ACCEPTED_NOTES, OPTS, accepted
-from flowsieve.catalog.registry import query
+from flowsieve.catalog.registry import query, shared_per_input
 from flowsieve.catalog.sql import with_
 from flowsieve.operators import blocks as bl
 from flowsieve.operators import features, policy, views
@@ -87,7 +85,7 @@ def stream_decide(spark, d):
     return _finish(decided, spark, "decisions")[0].withColumn("confidence", F.round("confidence", 6))
 
 
-@functools.lru_cache(maxsize=4)
+@shared_per_input
 def _live(spark, d: str) -> live.Live:
     job = live.Live(spark, scratch_path(spark, "live"), OPTS, lambda flows: _verdicts(flows).drop("probe"),
                     delay_us=HOUR_US, keep_expired_us=KEEP_EXPIRED_US)
