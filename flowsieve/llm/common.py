@@ -65,3 +65,16 @@ def per_text(batches: Iterable[pd.DataFrame], each: Callable[[pd.DataFrame], pd.
     for batch in batches:
         for start in range(0, len(batch), rows):
             yield each(batch.iloc[start:start + rows])
+
+
+def text_slices(texts: pd.Series, rows: int = 200, chars: int = 400_000) -> Iterator[slice]:
+    """Slices of at most `rows` texts and about `chars` characters; a longer text is a slice of its own."""
+    start, held = 0, 0
+    for at, text in enumerate(texts):
+        size = len(text) if isinstance(text, str) else 0
+        if at > start and (at - start >= rows or held + size > chars):
+            yield slice(start, at)
+            start, held = at, 0
+        held += size
+    if start < len(texts):
+        yield slice(start, len(texts))
