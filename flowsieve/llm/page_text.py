@@ -3,9 +3,10 @@
 A page is read once into blocks of text, each with its path of open elements from the root to the leaf. For every
 path the text length, punctuation, link text and number of blocks are summed. A path's score is its length ratio (characters per
 block) times its punctuation ratio, fused with the share of its text that isn't link text. Scores are smoothed along the page with a
-Gaussian, averaged per path again, and paths at or above the threshold, a share of the page's mean and standard deviation, are content.
-Element names, roles and class words weigh the paths: menus, footers, forms, notices, adverts, comments and what can't be seen never count;
-inside an article (or else the main element) the threshold falls away except for lists of links, so that short articles and headings stay.
+Gaussian that ends at the edges of articles, averaged per path again, and paths at or above the threshold, a share of the page's mean and
+standard deviation, are content; lists of links never are. Element names, roles and class words weigh the paths: menus, footers, forms, notices,
+adverts, comments and what can't be seen never count. An article or main element lowers the threshold for its own text (see `raised`), so that
+short articles, headings and tables stay, while a story outside them stays by its score and teasers in article elements fall by theirs.
 
 Cases with a defined result: a null or empty page and a page without text give an empty text; unclosed elements, comments and
 scripts end with the page; stray brackets are text; repeated rows get equal results; page_id and url may be null.
@@ -39,8 +40,12 @@ WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor s
                   "breadcrumb breadcrumbs pagination pager footer header masthead toolbar share sharing social related recommended "
                   "newsletter subscribe subscription signup login search form".split())
 
+# An article of such a class is a card that points to another page.
+CARDS = frozenset("teaser teasers card cards more promo".split())
+
 SMOOTHING, REACH = 1.0, 2
 THRESHOLD = 0.25
+RAISE = 0.999
 LINK_SHARE = 0.6
 MARKS = frozenset(".,;:!?…。、，！？；：")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
@@ -53,7 +58,7 @@ class Element:
     tag: str
     path: int
     inside: bool        # within an article
-    main: bool          # within a main element
+    zone: int           # number of the innermost article or main element, 0 outside; a card has a negative one
     apart: bool         # within a part that never counts
     heading: bool
     link: bool
@@ -62,21 +67,21 @@ class Element:
 @dataclass
 class Block:
     path: int
-    inside: bool
-    main: bool
+    zone: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
 
-def _marked(tag: str, attributes: str) -> tuple[bool, bool, str]:
-    """(never counts, is the main part, class words) by the element's attributes."""
-    apart, main, label = False, tag == "main", ""
+def _marked(tag: str, attributes: str) -> tuple[bool, bool, bool, str]:
+    """(never counts, is the main part, is a card, class words) by the element's attributes."""
+    apart, main, card, label = False, tag == "main", False, ""
     if attributes.strip():
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), html.unescape(a or b or c)
             if name in ("class", "id"):
                 words = {w.lower() for w in _WORD.findall(value)}
                 label += "." + "-".join(sorted(words))
+                card |= tag == "article" and bool(words & CARDS)
                 # the page itself may carry such words
                 apart |= bool(words & WORDS) and tag not in ("html", "body", "article", "main") or tag == "article" and bool(
                     words & {"comment", "comments", "ad", "advert", "sponsored", "related"})
@@ -87,15 +92,16 @@ def _marked(tag: str, attributes: str) -> tuple[bool, bool, str]:
                 apart = True
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 apart = True
-    return apart, main, label
+    return apart, main, card, label
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of text of a page in order, without the parts that never count."""
     paths: dict[tuple[int, str], int] = {}
-    root = Element("", 0, False, False, False, False, False)
+    root = Element("", 0, False, 0, False, False, False)
     stack, out = [root], []
     block: Block | None = None
+    zones = 0
 
     def add(text: str) -> None:
         nonlocal block
@@ -106,7 +112,7 @@ def blocks(page: str) -> list[Block]:
         if block is None:
             if not text.strip():
                 return
-            block = Block(top.path, top.inside, top.main)
+            block = Block(top.path, top.zone)
             out.append(block)
         block.parts.append(text)
         if top.link:
@@ -145,7 +151,7 @@ def blocks(page: str) -> list[Block]:
                 if stack[i].tag in limit:
                     break
         up = stack[-1]
-        apart, main, label = _marked(tag, token[3])
+        apart, main, card, label = _marked(tag, token[3])
         apart |= tag in APART or up.apart
         path = paths.setdefault((up.path, tag + label), len(paths) + 1)
         # a headline stands in a header of its article; other parts of such a header don't count
@@ -153,14 +159,34 @@ def blocks(page: str) -> list[Block]:
         in_header = up.tag == "header" and up.inside and not any(e.apart for e in stack[:-1])
         if tag in HEADINGS and in_header:
             apart = False
+        zone = up.zone
+        if (main or tag == "article") and not apart:
+            zones += 1
+            zone = -zones if card else zones
         if not token[3].endswith("/"):
-            stack.append(Element(tag, path, up.inside or tag == "article" and not apart, up.main or main and not apart, apart,
-                                 heading, up.link or tag == "a"))
+            stack.append(Element(tag, path, up.inside or tag == "article" and not apart, zone, apart, heading, up.link or tag == "a"))
     if at < len(page):
         add(page[at:])
     return out
 
 
+def raised(weights: list[tuple[int, float]]) -> dict[int, float]:
+    """How far each article or main element lowers the threshold of its own text, from 0 to RAISE, by the (zone, punctuated text) of the blocks.
+
+    An element counts by its text against the largest of them. All together count by their share of the page, but one that stands alone
+    counts in full: a short article beside other text is the page's article, several small ones beside a story are teasers.
+    """
+    held: dict[int, float] = {}
+    for zone, weight in weights:
+        if zone > 0:
+            held[zone] = held.get(zone, 0.0) + weight
+    largest, total = max(held.values(), default=0.0), sum(weight for _, weight in weights)
+    if not largest:
+        return {}
+    trust = max(sum(held.values()) / total, 1 / len(held) ** 2)
+    return {zone: RAISE * trust * weight / largest for zone, weight in held.items()}
+
+
 def content(page: str | None) -> str:
     """The main text of a page."""
     found = [(b, " ".join("".join(b.parts).split())) for b in blocks(page)] if page else []
@@ -168,28 +194,28 @@ def content(page: str | None) -> str:
     if not found:
         return ""
     sums: dict[int, list[float]] = {}
+    held = []
     for b, text in found:
+        marks, links = sum(map(MARKS.__contains__, text)), min(b.linked, len(text))
+        held.append((b.zone, (1.0 + marks) * (len(text) - links)))
         entry = sums.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
-        for i, value in enumerate((1, len(text), sum(map(MARKS.__contains__, text)), min(b.linked, len(text)))):
+        for i, value in enumerate((1, len(text), marks, links)):
             entry[i] += value
     linked = {p: l / chars for p, (_, chars, _, l) in sums.items()}
     fused = {p: chars / n * (1 + marks / n) * (1 - linked[p]) for p, (n, chars, marks, _) in sums.items()}
     lists = {p for p, (n, _, _, _) in sums.items() if n >= 3 and linked[p] > LINK_SHARE}
-    inside = [b.inside for b, _ in found] if any(b.inside and b.path not in lists for b, _ in found) else [b.main for b, _ in found]
-    if any(inside):
-        return "\n".join(text for (b, text), keep in zip(found, inside) if keep and b.path not in lists)
     weights = [math.exp(-d * d / (2 * SMOOTHING * SMOOTHING)) for d in range(REACH + 1)]
     series = [fused[b.path] for b, _ in found]
     smooth: dict[int, list[float]] = {}
     for i, (b, _) in enumerate(found):
-        near = [(weights[abs(j - i)], series[j]) for j in range(max(0, i - REACH), min(len(found), i + REACH + 1))]
+        near = [(weights[abs(j - i)], series[j]) for j in range(max(0, i - REACH), min(len(found), i + REACH + 1)) if found[j][0].zone == b.zone]
         smooth.setdefault(b.path, []).append(sum(w * s for w, s in near) / sum(w for w, _ in near))
     score = {p: sum(v) / len(v) for p, v in smooth.items()}
     values = [score[b.path] for b, _ in found]
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    limit = THRESHOLD * (mean + spread)
-    return "\n".join(text for b, text in found if score[b.path] >= limit and b.path not in lists)
+    limit, lower = THRESHOLD * (mean + spread), raised(held)
+    return "\n".join(text for b, text in found if score[b.path] >= limit * (1 - lower.get(b.zone, 0.0)) and b.path not in lists)
 
 
 def extracted(pages: DataFrame, *, html_column: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:

@@ -69,6 +69,33 @@ def test_content(html, text):
     assert page_text.content(html) == text
 
 
+STORY = ["The council met on Monday, and after a long debate, it agreed to rebuild the bridge; work begins in May, if funds allow.",
+         "Residents, who had waited for years, welcomed the vote. Some asked about noise, dust, and the length of the works.",
+         "The mayor said: the old bridge is safe, but narrow. A new one, with room for bicycles, will stand by next autumn."]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+@pytest.mark.parametrize("attribute", ["", " class='card'", " class='teaser more'"])
+@pytest.mark.parametrize("around", ["{}", "<main>{}</main>"])
+def test_story_outside_teaser_articles(attribute, around):
+    cards = "".join(f"<article{attribute}><h3>Ten tips number {i}</h3><p>Read it here.</p></article>" for i in range(3))
+    page = PAGE.format(around.format(f"<div>{paragraphs(STORY)}</div>{cards}"))
+    assert page_text.content(page) == "\n".join(STORY)
+    page = PAGE.format(around.format(f"<section>{cards}</section><article><h1>Bridge</h1>{paragraphs(STORY)}</article>"))
+    assert page_text.content(page) == "\n".join(["Bridge", *STORY])
+
+
+def test_article_keeps_its_short_parts():
+    table = "<table><tr><td>3</td><td>x</td></tr></table><ul><li>tar</li><li>steel</li></ul>"
+    want = "\n".join([*STORY, "3", "x", "tar", "steel"])
+    assert page_text.content(PAGE.format(f"<article>{paragraphs(STORY)}{table}</article>")) == want
+    both = "".join(f"<article>{paragraphs(STORY)}{table}</article>" for _ in range(4))
+    assert page_text.content(PAGE.format(both)) == "\n".join([want] * 4)
+
+
 def test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").selectExpr("*", "'x' AS text", "1 AS n_chars")
     pages = pages.unionByName(pages.limit(1).selectExpr(*[f"IF(false, {c}, NULL) AS {c}" for c in pages.columns]))
