@@ -14,6 +14,9 @@ from flowsieve.llm.common import packed, table
 from flowsieve.llm.queries import MIX_CAP, MIX_SHARE, MIX_WEIGHTS, tokenizer
 from flowsieve.session import scratch_path
 
+#: Near duplicates of the stage; op8_shingle_join has a contract of its own, 4 words and 85 %.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
@@ -21,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, that of the smallest id."""
-    return shingle_join.representatives(docs, 4, 85)
+    """One document of each class, that of the smallest id; links are pairs with NEAR_PERCENT % of common NEAR_WORDS-word shingles."""
+    return shingle_join.representatives(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -350,6 +350,24 @@ def test_secrets(spark, odd, empty, clashing):
 
 # --- pipeline ---
 
+def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark, docs):
+    """Cut copies whose similarity lies on both sides of the limit, and scattered edits, against brute force."""
+    import corpus_pipeline as pipeline
+    made = []
+    for family, left in enumerate((119, 104, 102, 98, 97, 96, 90)):
+        words = [f"f{family}w{i}" for i in range(120)]
+        made += [(9000 + 10 * family, " ".join(words)), (9001 + 10 * family, " ".join(words[:left]))]
+    words = [f"s{i}" for i in range(300)]
+    made += [(9100, " ".join(words)), (9101, " ".join("x" if i in (40, 90, 140, 190, 240, 270) else w for i, w in enumerate(words)))]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made], docs.schema)
+    stays = []
+    for at in range(0, len(made), 2):
+        a, b = shingles(made[at][1], 5), shingles(made[at + 1][1], 5)
+        stays += [made[at][0]] + [made[at + 1][0]] * (100 * len(a & b) < 80 * len(a | b))
+    assert sorted(r["doc_id"] for r in rows(pipeline.near_duplicates(spark, table, ""))) == stays
+    assert 9021 not in stays and 9031 not in stays and 9051 in stays and 9101 not in stays
+
+
 def test_pipeline_by_stages(spark, odd, clashing, empty):
     import corpus_pipeline as pipeline
     for table in (odd, empty, clashing):
