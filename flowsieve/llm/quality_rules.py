@@ -2,14 +2,16 @@
 
 Rates of every text (symbols, repeated words, doubled words, repeated lines, word length) go into
 relative-error sketches, one for each language, source and rate: a bin holds the values between two powers of
-(1 + a) / (1 - a), so its middle is within a = 1 % of each, and sketches merge by adding counts. Spark
+(1 + a) / (1 - a), so its middle is within a = 0.1 % of each, and sketches merge by adding counts. Spark
 builds them with map-side combine, so a hot source costs no more than the others. A source with
 few texts takes the sketch of its language, and a rare language that of the whole table: both are
 sums of the sketches below them.
 
-A text is rejected when a rate passes the group's median by more than STRICTNESS times the group's lower spread
-(median minus 10 % quantile), but at least a stated spread. Junk lies on the upper side of these rates, so it
-moves neither figure until it makes up half of a group.
+A text is rejected when a rate passes a high quantile of its group by more than a multiple of the group's upper spread (that quantile
+minus the median), or when its word length lies as far below the low quantile. The quantile is 75 %, so junk moves neither figure until it
+makes up a quarter of a group; repeats and repeated lines are rare in good texts and take 95 %. A stated small spread stands in only where the group
+has none, as where three quarters of the texts hold no symbol. Shares of words or lines get ALLOWANCE standard deviations of a count on
+top, because one repeated line is a large share of a short text.
 
 Cases with a defined result: a null or empty text has no words and fails the base rule; null languages and sources
 are groups of their own; repeated rows are judged alike; a text alone in its group is judged by the merged sketches.
@@ -29,20 +31,21 @@ from flowsieve.llm.common import held_small, packed, text_slices
 from flowsieve.llm.words import Words, encoded
 from flowsieve.session import settle
 
-ACCURACY = 0.01
+ACCURACY = 0.001
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 ZERO_BIN = -1_000_000
-STRICTNESS = 8.0
+ALLOWANCE = 2.0
 LEAST_ROWS = 50
 SYMBOLS = b"#*$%&|<>"
-#: rate: (numerator, denominator, least spread)
+#: rate: (numerator, denominator, least spread, high quantile, spreads above it)
 RATES = {
-    "symbols": ("n_symbols", "n_words", 0.02),
-    "repeats": ("n_repeat_words", "n_words", 0.025),
-    "doubles": ("n_doubled_words", "n_words", 0.02),
-    "lines": ("n_dup_lines", "n_lines", 0.07),
-    "length": ("word_chars", "n_words", 0.4),
+    "symbols": ("n_symbols", "n_words", 0.002, "high", 8.0),
+    "repeats": ("n_repeat_words", "n_words", 0.01, "top", 3.0),
+    "doubles": ("n_doubled_words", "n_words", 0.001, "high", 8.0),
+    "lines": ("n_dup_lines", "n_lines", 0.02, "top", 3.0),
+    "length": ("word_chars", "n_words", 0.02, "high", 8.0),
 }
+SHARES = {"low": 0.25, "mid": 0.5, "high": 0.75, "top": 0.95}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_doubled_words"]
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -111,7 +114,7 @@ def bin_value(at: Column) -> Column:
 
 
 def rate(name: str) -> Column:
-    above, below, _ = RATES[name]
+    above, below, *_ = RATES[name]
     return F.when(F.col(below) > 0, F.col(above) / F.col(below)).otherwise(F.lit(0.0))
 
 
@@ -135,21 +138,24 @@ def quantiles(sketch: DataFrame, by: list[str], shares: dict[str, float]) -> Dat
 
 
 def thresholds(rows: DataFrame, by: tuple[str, str]) -> DataFrame:
-    """(lang, source, limits): a map from rate to its limit, from the narrowest sketch with enough rows."""
+    """(lang, source, limits): a map from rate to its upper and lower limit, from the narrowest sketch with enough rows."""
     lang, source = by
     finest = settle(sketches(rows, [lang, source]))
-    shares = {"mid": 0.5, "low": 0.1}
 
     def limits(found: DataFrame, keys: list[str], name: str) -> DataFrame:
-        least = F.create_map(*[x for n, (_, _, spread) in RATES.items() for x in (F.lit(n), F.lit(spread))])
-        spread = F.greatest(F.col("mid") - F.col("low"), least[F.col("rate")])
-        limit = F.col("mid") + F.lit(STRICTNESS) * spread
+        def stated(at: int) -> Column:
+            return F.create_map(*[F.lit(x) for n, values in RATES.items() for x in (n, values[at])])[F.col("rate")]
+
+        high = F.when(stated(3) == "top", F.col("top")).otherwise(F.col("high"))
+        upper = high + stated(4) * F.greatest(high - F.col("mid"), stated(2))
+        lower = F.col("low") - stated(4) * F.greatest(F.col("mid") - F.col("low"), stated(2))
+        limit = F.struct(upper.alias("upper"), lower.alias("lower"))
         entry = F.when(F.col("rows") >= LEAST_ROWS, limit) if keys else limit
         return found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rate", entry))).alias(name))
 
-    own = limits(quantiles(finest, [lang, source], shares), [lang, source], "own")
-    wider = limits(quantiles(merged(finest, [lang]), [lang], shares), [lang], "wider")
-    widest = limits(quantiles(merged(finest, []), [], shares), [], "widest")
+    own = limits(quantiles(finest, [lang, source], SHARES), [lang, source], "own")
+    wider = limits(quantiles(merged(finest, [lang]), [lang], SHARES), [lang], "wider")
+    widest = limits(quantiles(merged(finest, []), [], SHARES), [], "widest")
     joined = own.join(wider.withColumnRenamed(lang, "_lang"), F.col(lang).eqNullSafe(F.col("_lang")), "left").join(
         F.broadcast(widest), F.lit(True), "left")
     chosen = F.map_from_arrays(F.array(*map(F.lit, RATES)), F.array(*[
@@ -174,7 +180,12 @@ def _limits(rows: DataFrame) -> DataFrame:
 
 
 def _over() -> Column:
-    over = F.array(*[F.when(rate(n) > F.col("limits")[n], F.lit(n)) for n in RATES])
+    found = []
+    for n, (_, below, *_) in RATES.items():
+        upper = F.col("limits")[n]["upper"]
+        noise = F.lit(0.0) if n == "length" else ALLOWANCE * F.sqrt(upper / F.greatest(F.col(below), F.lit(1)))
+        found.append(F.when(rate(n) > upper + noise, F.lit(n)))
+    over = F.array(*found, F.when(rate("length") < F.col("limits")["length"]["lower"], F.lit("short")))
     return F.coalesce(F.filter(over, lambda x: x.isNotNull()), F.array().cast("array<string>"))
 
 

@@ -256,6 +256,32 @@ def test_rules_keep_good_and_drop_bad(spark, odd, empty, clashing):
     assert quality_rules.kept_rows(clashing).columns == clashing.columns
 
 
+def test_limits_follow_the_group(spark, docs):
+    """What is usual in one source is too much in another; every rule can fire below the base rule, and so can the lower side."""
+    rng = np.random.default_rng(8)
+
+    def words(n, low=3, high=8):
+        return ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(low, high))) for _ in range(n)]
+
+    def doubled(k):
+        text = words(400 - k)
+        for at in sorted(rng.choice(400 - k, k, replace=False), reverse=True):
+            text.insert(at, text[at])
+        return text
+    made = [("a", doubled(int(k))) for k in rng.integers(4, 9, 80)] + [("b", doubled(int(k))) for k in rng.integers(60, 101, 80)]
+    passage, lines = words(30), words(40)
+    probes = {"doubles": ("a", doubled(40)), "usual": ("b", doubled(80)), "short": ("a", words(400, 2, 3)),
+              "length": ("a", words(400, 6, 12)), "repeats": ("a", passage + words(200) + passage + words(140)),
+              "symbols": ("a", words(388) + ["#*"] * 1 + [w + "#*" for w in words(11)])}
+    lines[::5] = ["again"] * 8
+    table = [(i, " ".join(text), "en", source, 1) for i, (source, text) in enumerate([*made, *probes.values()])]
+    table.append((len(table), "\n".join(lines), "en", "a", 1))
+    judged = {r["doc_id"]: r for r in rows(quality_rules.judge(spark.createDataFrame(table, docs.schema)))}
+    assert not any(r["base_failed"] for r in judged.values()) and np.mean([judged[i]["kept"] for i in range(160)]) > 0.99
+    for i, name in enumerate([*probes, "lines"], 160):
+        assert (name in judged[i]["reasons"]) if name != "usual" else judged[i]["kept"], name
+
+
 # --- shingle join ---
 
 def shingles(text, n=4):
