@@ -4,8 +4,8 @@ A page is read once into blocks of text, each with its path of open elements fro
 path the text length, punctuation, link text and number of blocks are summed. A path's score is its length ratio (characters per
 block) times its punctuation ratio, fused with the share of its text that isn't link text. Scores are smoothed along the page with a
 Gaussian that ends at the edges of articles, averaged per path again, and paths at or above the threshold, a share of the page's mean and
-standard deviation, are content; lists of links never are. Element names, roles and class words weigh the paths: menus, footers, forms, notices,
-adverts, comments and what can't be seen never count. An article or main element lowers the threshold for its own text (see `raised`), so that
+standard deviation, are content; lists of links never are. By element name, role or style, menus, footers, forms, dialogs and what can't be
+seen never count. Class words for such parts, notices, adverts and comments cut a path's score to WORD_FACTOR (see `voided` for where they don't). An article or main element lowers the threshold for its own text (see `raised`), so that
 short articles, headings and tables stay, while a story outside them stays by its score and teasers in article elements fall by theirs.
 
 Cases with a defined result: a null or empty page and a page without text give an empty text; unclosed elements, comments and
@@ -40,12 +40,16 @@ WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor s
                   "breadcrumb breadcrumbs pagination pager footer header masthead toolbar share sharing social related recommended "
                   "newsletter subscribe subscription signup login search form".split())
 
+# A class with such a word is about the layout: no-sidebar, has-sidebar, page-with-comments.
+LAYOUT = frozenset("no not non without has have with".split())
 # An article of such a class is a card that points to another page.
 CARDS = frozenset("teaser teasers card cards more promo".split())
 
 SMOOTHING, REACH = 1.0, 2
 THRESHOLD = 0.25
 RAISE = 0.999
+WORD_FACTOR = 0.005
+ARTICLE_WEIGHT = 10.0
 LINK_SHARE = 0.6
 MARKS = frozenset(".,;:!?…。、，！？；：")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
@@ -60,6 +64,8 @@ class Element:
     inside: bool        # within an article
     zone: int           # number of the innermost article or main element, 0 outside; a card has a negative one
     apart: bool         # within a part that never counts
+    words: tuple[int, ...]      # paths of the elements around, itself included, that have class words
+    outer: int          # how many of them stand around the zone
     heading: bool
     link: bool
 
@@ -68,23 +74,29 @@ class Element:
 class Block:
     path: int
     zone: int
+    words: tuple[int, ...]
+    own: bool           # in an article or main element, no class words in between
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
 
-def _marked(tag: str, attributes: str) -> tuple[bool, bool, bool, str]:
-    """(never counts, is the main part, is a card, class words) by the element's attributes."""
-    apart, main, card, label = False, tag == "main", False, ""
+def _marked(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, str]:
+    """(never counts, is the main part, is a card, has words of other parts, class words) by the element's attributes."""
+    apart, main, card, worded, label = False, tag == "main", False, False, ""
     if attributes.strip():
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), html.unescape(a or b or c)
             if name in ("class", "id"):
                 words = {w.lower() for w in _WORD.findall(value)}
                 label += "." + "-".join(sorted(words))
-                card |= tag == "article" and bool(words & CARDS)
+                named = [{w.lower() for w in _WORD.findall(c)} for c in value.split()]
+                meant = set().union(*[c for c in named if not c & LAYOUT])
                 # the page itself may carry such words
-                apart |= bool(words & WORDS) and tag not in ("html", "body", "article", "main") or tag == "article" and bool(
-                    words & {"comment", "comments", "ad", "advert", "sponsored", "related"})
+                if tag == "article":
+                    worded |= bool(meant & {"comment", "comments", "ad", "advert", "sponsored", "related"})
+                    card |= worded or bool(words & CARDS)
+                elif tag not in ("html", "body", "main"):
+                    worded |= bool(meant & WORDS)
             elif name == "role":
                 apart |= value.lower() in ROLES
                 main |= value.lower() == "main"
@@ -92,13 +104,13 @@ def _marked(tag: str, attributes: str) -> tuple[bool, bool, bool, str]:
                 apart = True
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 apart = True
-    return apart, main, card, label
+    return apart, main, card, worded, label
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of text of a page in order, without the parts that never count."""
     paths: dict[tuple[int, str], int] = {}
-    root = Element("", 0, False, 0, False, False, False)
+    root = Element("", 0, False, 0, False, (), 0, False, False)
     stack, out = [root], []
     block: Block | None = None
     zones = 0
@@ -112,7 +124,7 @@ def blocks(page: str) -> list[Block]:
         if block is None:
             if not text.strip():
                 return
-            block = Block(top.path, top.zone)
+            block = Block(top.path, top.zone, top.words, top.zone > 0 and len(top.words) == top.outer)
             out.append(block)
         block.parts.append(text)
         if top.link:
@@ -151,7 +163,7 @@ def blocks(page: str) -> list[Block]:
                 if stack[i].tag in limit:
                     break
         up = stack[-1]
-        apart, main, card, label = _marked(tag, token[3])
+        apart, main, card, worded, label = _marked(tag, token[3])
         apart |= tag in APART or up.apart
         path = paths.setdefault((up.path, tag + label), len(paths) + 1)
         # a headline stands in a header of its article; other parts of such a header don't count
@@ -159,12 +171,13 @@ def blocks(page: str) -> list[Block]:
         in_header = up.tag == "header" and up.inside and not any(e.apart for e in stack[:-1])
         if tag in HEADINGS and in_header:
             apart = False
-        zone = up.zone
+        zone, outer, words = up.zone, up.outer, up.words + (path,) if worded else up.words
         if (main or tag == "article") and not apart:
             zones += 1
-            zone = -zones if card else zones
+            zone, outer = -zones if card else zones, len(up.words)
         if not token[3].endswith("/"):
-            stack.append(Element(tag, path, up.inside or tag == "article" and not apart, zone, apart, heading, up.link or tag == "a"))
+            stack.append(Element(tag, path, up.inside or tag == "article" and not apart, zone, apart, words, outer,
+                                 heading, up.link or tag == "a"))
     if at < len(page):
         add(page[at:])
     return out
@@ -187,6 +200,26 @@ def raised(weights: list[tuple[int, float]]) -> dict[int, float]:
     return {zone: RAISE * trust * weight / largest for zone, weight in held.items()}
 
 
+def voided(found: list[tuple[Block, float]]) -> set[int]:
+    """Paths of elements whose class words don't count, by the punctuated text of the blocks (other text counts a tenth).
+
+    They stand around the article, main element or path that holds most of it, or hold more than half of it themselves; text of an article or main element counts
+    ARTICLE_WEIGHT-fold, so that no long thread of comments takes the place of an article.
+    """
+    units: dict[tuple[bool, int], float] = {}
+    below: dict[int, float] = {}
+    around: dict[tuple[bool, int], tuple[int, ...]] = {}
+    for b, weight in found:
+        weight *= ARTICLE_WEIGHT if b.own else 1.0
+        unit = (b.own, b.zone if b.own else b.path)
+        units[unit] = units.get(unit, 0.0) + weight
+        around[unit] = b.words
+        for path in b.words:
+            below[path] = below.get(path, 0.0) + weight
+    half = sum(units.values()) / 2
+    return set(around[max(units, key=units.__getitem__)]) | {path for path, weight in below.items() if weight > half}
+
+
 def content(page: str | None) -> str:
     """The main text of a page."""
     found = [(b, " ".join("".join(b.parts).split())) for b in blocks(page)] if page else []
@@ -194,13 +227,16 @@ def content(page: str | None) -> str:
     if not found:
         return ""
     sums: dict[int, list[float]] = {}
-    held = []
+    held, plain = [], []
     for b, text in found:
         marks, links = sum(map(MARKS.__contains__, text)), min(b.linked, len(text))
-        held.append((b.zone, (1.0 + marks) * (len(text) - links)))
+        plain.append((b, (len(text) - links) * (1.0 if marks else 0.1)))
+        held.append((1.0 + marks) * (len(text) - links))
         entry = sums.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
         for i, value in enumerate((1, len(text), marks, links)):
             entry[i] += value
+    void = voided(plain)
+    other = {b.path for b, _ in found if not void.issuperset(b.words)}
     linked = {p: l / chars for p, (_, chars, _, l) in sums.items()}
     fused = {p: chars / n * (1 + marks / n) * (1 - linked[p]) for p, (n, chars, marks, _) in sums.items()}
     lists = {p for p, (n, _, _, _) in sums.items() if n >= 3 and linked[p] > LINK_SHARE}
@@ -210,12 +246,15 @@ def content(page: str | None) -> str:
     for i, (b, _) in enumerate(found):
         near = [(weights[abs(j - i)], series[j]) for j in range(max(0, i - REACH), min(len(found), i + REACH + 1)) if found[j][0].zone == b.zone]
         smooth.setdefault(b.path, []).append(sum(w * s for w, s in near) / sum(w for w, _ in near))
-    score = {p: sum(v) / len(v) for p, v in smooth.items()}
-    values = [score[b.path] for b, _ in found]
+    score = {p: sum(v) / len(v) * (WORD_FACTOR if p in other else 1.0) for p, v in smooth.items()}
+    values = [score[b.path] for b, _ in found if b.path not in other]
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    limit, lower = THRESHOLD * (mean + spread), raised(held)
-    return "\n".join(text for b, text in found if score[b.path] >= limit * (1 - lower.get(b.zone, 0.0)) and b.path not in lists)
+    limit = THRESHOLD * (mean + spread)
+    zones = [0 if b.path in other else b.zone for b, _ in found]
+    lower = raised(list(zip(zones, held)))
+    return "\n".join(text for (b, text), zone in zip(found, zones)
+                     if score[b.path] >= limit * (1 - lower.get(zone, 0.0)) and b.path not in lists)
 
 
 def extracted(pages: DataFrame, *, html_column: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:

@@ -96,6 +96,25 @@ def test_article_keeps_its_short_parts():
     assert page_text.content(PAGE.format(both)) == "\n".join([want] * 4)
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content no-sidebar'", "div class=has-sidebar", "div class='page-with-comments'",
+                                     "section id='search-history'", "div class='post social'"])
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<main>{}</main>"])
+def test_class_words_do_not_rule_out_the_story(wrapper, inner):
+    around = "<div class=ad><p>Buy now, pay later, and save.</p></div><{}>{}<div class=comments><p>Nice, thanks.</p><p>Me too.</p></div></{}>"
+    page = PAGE.format(around.format(wrapper, inner.format(paragraphs(STORY)), wrapper.split()[0]))
+    assert page_text.content(page) == "\n".join(STORY)
+
+
+def test_class_words_still_weigh():
+    thread = "<div class=comments>" + "<div><p>Well said, I think.</p></div>" * 12 + "</div>"
+    assert page_text.content(PAGE.format(f"<article>{paragraphs(STORY)}</article>{thread}")) == "\n".join(STORY)
+    ad = "<div class=ad>Buy, now, or, as, said, tomorrow, at the latest. It is cheap.</div>"
+    assert page_text.content(PAGE.format(f"{ad}<article><h1>A vote.</h1><p><b>A vote.<br></article>")) == "A vote.\nA vote."
+    cards = "".join(f"<article><h3>Tip {i}</h3><p>Read it here.</p></article>" for i in range(3))
+    page = PAGE.format(f"<div><article>{paragraphs(STORY)}</article></div><div class=related>{cards}</div>")
+    assert page_text.content(page) == "\n".join(STORY)
+
+
 def test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").selectExpr("*", "'x' AS text", "1 AS n_chars")
     pages = pages.unionByName(pages.limit(1).selectExpr(*[f"IF(false, {c}, NULL) AS {c}" for c in pages.columns]))
