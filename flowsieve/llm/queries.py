@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import (bpe, mixing, page_text, quality_model, quality_rules, secrets_scan, sharding, shingle_join, token_files,
-                           vector_join)
+from flowsieve.llm import (alignment, bpe, language, mixing, page_text, quality_model, quality_rules, resampling, secrets_scan, sharding,
+                           shingle_join, token_files, vector_join)
 from flowsieve.llm.common import table
+from flowsieve.llm.resampling_sql import RESAMPLING
 from flowsieve.session import scratch_path
 
 #: The weights of sources in code point order, repeating, and the share of all words in the mix.
@@ -70,6 +71,24 @@ def op10_secrets_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
+    docs = docs.withColumn("held_out", remainder == 2)
+    return language.identify(docs, language.fit(docs, ~F.col("held_out")), ["doc_id", "held_out"])
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=1, most=1, buckets=10_000,
+                                percent=10, least_words=20)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -77,5 +96,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_mixing, op2_quality_model, op3_sharding, op4_token_files, op5_bpe, op6_vector_join, op7_quality_rules, op8_shingle_join,
-    op9_page_text, op10_secrets_scan, pipeline)}
-ORACLES: dict[str, str] = {}
+    op9_page_text, op10_secrets_scan, op11_language, op12_resampling, op13_alignment, pipeline)}
+ORACLES: dict[str, str] = {"op12_resampling": RESAMPLING}
