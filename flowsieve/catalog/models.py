@@ -125,9 +125,9 @@ def score_jsonl(spark, d):
 
 def _explained(spark, d, everything):
     detector = _detector(spark, d)
-    leaves = settle(contributions.leaf_table(detector.classifier.stages[-1]))
+    nodes = settle(contributions.node_table(detector.classifier.stages[-1]))
     verdicts = detection.score_flows(feature_rows(spark, d), detector, OPTS)
-    return detection.explain_rows(verdicts, detector, leaves, everything), contributions.base_value(leaves)
+    return detection.explain_rows(verdicts, detector, nodes, everything), contributions.base_value(nodes)
 
 
 @query("explain_shap")
