@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import text_slices
+from flowsieve.llm.common import BROADCAST_ROWS, text_slices
 
 PASSAGES, PASSAGE_CHARS = 400, 1000
 DICTIONARY_BYTES, ALL_BYTES = 1 << 16, 1 << 26
@@ -56,6 +56,8 @@ def fit(docs: DataFrame, learn: Column | None = None, *, text: str = "text", lan
     spark = docs.sparkSession
     # a share that draws twice the passages wanted, so that the ordered rows of a language are few
     shares = spark.createDataFrame([(k, min(1.0, 2 * PASSAGES / n)) for k, n in counts.items()], "lang string, share double")
+    # the driver has counted its rows: one per language
+    shares = F.broadcast(shares) if len(counts) <= BROADCAST_ROWS else shares
     mark = F.xxhash64("text")
     drawn = rows.join(shares, "lang").withColumn("draw", F.pmod(mark, F.lit(_DRAWS)))
     drawn = drawn.filter(F.col("draw") < F.col("share") * F.lit(float(_DRAWS))).withColumn("letters", letters("text"))
