@@ -7,8 +7,9 @@ doubling and then halving lengths and skipped whole; where the ends differ, the
 gives an irregular group and a new distance. Links are pairs of tokens whose bytes overlap.
 
 Chunks of text that start at a space after another character than white space are encoded independently by both tokenizers (no piece of
-B has a space mark after another character, which is checked), so a task keeps a table of known chunks, bounded by bytes, and drops it at its
-end. Alignment runs over whole texts.
+B has a space mark after another character, which is checked), so a chunk's end is an end of both. The distinct new chunks of a slice of
+texts are joined to long texts, encoded and aligned there, and cut again at their ends; a document's groups and links are those of
+its chunks in order. A task keeps a table of known chunks, bounded by bytes, and drops it at its end.
 
 A pair's count is the number of documents that hold it linked. Every document's distinct pairs are written once with their multiplicity,
 counted by pair, and looked up again. The pair table is held by the tasks in ranges of A's ids of at most PAIRS_PER_PASS pairs,
@@ -39,7 +40,8 @@ from flowsieve.session import settle
 PAIRS_PER_PASS = 2_000_000
 TABLE_BYTES = 48_000_000
 ROWS = 1000                 # documents whose pairs are handled at once
-_ENTRY_BYTES = 320          # a chunk's key and values, without their characters and ids
+_ENTRY_BYTES = 420          # a chunk's key and values, without their characters
+JOINED_CHARS = 8000         # characters of new chunks that are encoded and aligned as one text
 _ODD_SPACE = re.compile(r"^ |\s ")
 _CUT = re.compile(r"(?<=\S) ")
 _SPACE = "▁"
@@ -134,18 +136,22 @@ class Tokenizers:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.space = self.b.piece_to_id(_SPACE)
 
-    def encode(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids (32-bit) of ' ' + chunk by A and B; None where the bytes of the tokens aren't those of the text."""
-        found_a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
-        found_b = self.b.encode(chunks, num_threads=1)
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of ' ' + text by A and B; None where the bytes of the tokens aren't those of the text."""
+        found_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        found_b = self.b.encode(texts, num_threads=1)
         out = []
-        for chunk, a, b in zip(chunks, found_a, found_b):
-            raw, b = (" " + chunk).encode(), b or [self.space]
+        for text, a, b in zip(texts, found_a, found_b):
+            raw, a, b = (" " + text).encode(), a.ids, b or [self.space]
             same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-            out.append((np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None)
+            out.append((np.array(a, np.int64), np.array(b, np.int64)) if same else None)
         return out
 
 
+#: Groups as text, packed pairs of the links, numbers of A's tokens, B's tokens and groups of a chunk.
+Chunk = tuple[str, bytes, int, int, int]
+
+
 class Aligner:
     """Encodes and aligns texts; keeps a bounded table of chunks."""
 
@@ -155,16 +161,74 @@ class Aligner:
         self.len_b = np.array([len(t) for t in tokenizers.b_bytes], np.int64)
         self.width = len(self.len_b)
         self.dtype = np.dtype("<u4") if len(self.len_a) * self.width < 1 << 32 else np.dtype("<u8")
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.known: dict[str, Chunk | None] = {}
         self.held = 0
         self.texts = _PairTexts(self.width)
-        self.group_texts: dict[tuple[bytes, bytes], str] = {}
 
-    def _table(self, wanted: set[str]) -> dict:
+    def _align(self, chunks: list[str], a: np.ndarray, b: np.ndarray) -> list[Chunk]:
+        """The chunks of one joined text, from its ids."""
+        ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        stretches, groups, links = align(ends_a, ends_b)
+        at_a, at_b = np.empty(0, np.int64), np.empty(0, np.int64)
+        if stretches:
+            from_a, from_b, length = np.array(stretches, np.int64).T
+            at_a = np.arange(length.sum()) + np.repeat(from_a - np.cumsum(length) + length, length)
+            at_b = at_a + np.repeat(from_b - from_a, length)
+        texts = list(map(self.texts.__getitem__, (a[at_a] * self.width + b[at_b]).tolist()))
+        # groups in order, as text and by the end of their last A token
+        group_end = at_a
+        if groups:
+            ids_a, ids_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+            odd = [f"{','.join(ids_a[i:j])}|{','.join(ids_b[k:n])}" for i, j, k, n in groups]
+            group_end = np.concatenate((at_a, np.array([g[1] - 1 for g in groups])))
+            link_a, link_b = np.array(links, np.int64).T
+            at_a, at_b, texts = np.concatenate((at_a, link_a)), np.concatenate((at_b, link_b)), texts + odd
+            order = np.argsort(group_end, kind="stable")
+            group_end, texts = group_end[order], list(map(texts.__getitem__, order.tolist()))
+            order = np.argsort(at_a + at_b, kind="stable")
+            at_a, at_b = at_a[order], at_b[order]
+        pairs = (a[at_a] * self.width + b[at_b]).astype(self.dtype).tobytes()
+        size = self.dtype.itemsize
+        stop = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        stop_a, stop_b = np.searchsorted(ends_a, stop) + 1, np.searchsorted(ends_b, stop) + 1
+        if not (np.array_equal(ends_a[stop_a - 1], stop) and np.array_equal(ends_b[stop_b - 1], stop)):
+            raise ValueError("a token runs over the end of a chunk")
+        stop_group, stop_link = np.searchsorted(group_end, stop_a), np.searchsorted(at_a, stop_a) * size
+        out, i, j, g, k = [], 0, 0, 0, 0
+        for next_i, next_j, next_g, next_k in zip(stop_a.tolist(), stop_b.tolist(), stop_group.tolist(), stop_link.tolist()):
+            out.append((";".join(texts[g:next_g]), pairs[k:next_k], next_i - i, next_j - j, next_g - g))
+            i, j, g, k = next_i, next_j, next_g, next_k
+        return out
+
+    def _learn(self, new: list[str]) -> dict[str, Chunk | None]:
+        joined: list[list[str]] = []
+        room = 0
+        for chunk in new:
+            if not chunk or chunk[-1].isspace():       # the next space would belong to a run of them
+                joined.append([chunk])
+                room = 0
+            elif len(chunk) < room:
+                joined[-1].append(chunk)
+                room -= len(chunk) + 1
+            else:
+                joined.append([chunk])
+                room = JOINED_CHARS - len(chunk)
+        found: dict[str, Chunk | None] = {}
+        for chunks, ids in zip(joined, self.tokenizers.encode([" ".join(c) for c in joined])):
+            if ids is not None:
+                found.update(zip(chunks, self._align(chunks, *ids)))
+            elif len(chunks) == 1:
+                found[chunks[0]] = None
+            else:       # some chunk's bytes are changed: each on its own
+                for chunk, own in zip(chunks, self.tokenizers.encode(chunks)):
+                    found[chunk] = None if own is None else self._align([chunk], *own)[0]
+        return found
+
+    def _table(self, wanted: set[str]) -> dict[str, Chunk | None]:
         """A table with all wanted chunks; it starts anew when it would grow too large."""
         new = [c for c in wanted if c not in self.known]
-        found = dict(zip(new, self.tokenizers.encode(new))) if new else {}
-        more = sum(_ENTRY_BYTES + 10 * len(c) for c in new)
+        found = self._learn(new)
+        more = sum(_ENTRY_BYTES + 20 * len(c) for c in new)
         if self.held + more > TABLE_BYTES:
             own = {c: self.known[c] for c in wanted if c in self.known} | found
             self.known, self.held = {}, 0
@@ -173,57 +237,24 @@ class Aligner:
         self.held += more
         return self.known
 
-    def encoded(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both tokenizers for every text, None for a text without tokens."""
+    def documents(self, texts: list[str | None]) -> list[dict]:
+        """Counts, the groups' digest, and the distinct linked pairs with their multiplicity, of every text."""
         cut = [_chunks(t) if t else () for t in texts]
         table = self._table(set().union(*cut))
         out = []
         for parts in cut:
-            ids = list(map(table.__getitem__, parts))
-            if not ids or None in ids:
-                out.append(None)
+            rows = list(map(table.__getitem__, parts))
+            if not rows or None in rows:
+                out.append(NO_TOKENS)
                 continue
-            out.append((np.frombuffer(b"".join([p[0] for p in ids]), "<u4"), np.frombuffer(b"".join([p[1] for p in ids]), "<u4")))
+            groups, packed, n_a, n_b, n_groups = zip(*rows)
+            pairs = np.frombuffer(b"".join(packed), self.dtype)
+            distinct, times = np.unique(pairs, return_counts=True)
+            out.append({"n_a": sum(n_a), "n_b": sum(n_b), "n_groups": sum(n_groups), "n_links": len(pairs),
+                        "groups_sha256": hashlib.sha256(";".join(groups).encode()).hexdigest(),
+                        "pairs": distinct.tobytes(), "times": times.astype("<u4").tobytes()})
         return out
 
-    def _group_text(self, a: np.ndarray, b: np.ndarray) -> str:
-        key = a.tobytes(), b.tobytes()
-        if key not in self.group_texts:
-            if len(self.group_texts) > 50_000:
-                self.group_texts.clear()
-            text = f"{','.join(map(str, a.tolist()))}|{','.join(map(str, b.tolist()))}"
-            if len(text) > 1000:
-                return text
-            self.group_texts[key] = text
-        return self.group_texts[key]
-
-    def aligned(self, a: np.ndarray, b: np.ndarray) -> dict:
-        """Counts, the groups' digest, and the distinct linked pairs with their multiplicity."""
-        stretches, groups, links = align(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
-        at_a, at_b = np.empty(0, np.int64), np.empty(0, np.int64)
-        if stretches:
-            from_a, from_b, length = np.array(stretches, np.int64).T
-            at_a = np.arange(length.sum()) + np.repeat(from_a - np.cumsum(length) + length, length)
-            at_b = at_a + np.repeat(from_b - from_a, length)
-        pairs = a[at_a].astype(np.int64) * self.width + b[at_b]
-        texts = list(map(self.texts.__getitem__, pairs.tolist()))
-        parts, taken, next_group = [], 0, 0
-        for i, _, n in stretches:
-            while next_group < len(groups) and groups[next_group][0] < i:
-                g = groups[next_group]
-                parts.append(self._group_text(a[g[0]:g[1]], b[g[2]:g[3]]))
-                next_group += 1
-            parts += texts[taken:taken + n]
-            taken += n
-        parts += [self._group_text(a[g[0]:g[1]], b[g[2]:g[3]]) for g in groups[next_group:]]
-        if links:
-            link_a, link_b = np.array(links, np.int64).T
-            pairs = np.concatenate((pairs, a[link_a].astype(np.int64) * self.width + b[link_b]))
-        distinct, times = np.unique(pairs, return_counts=True)
-        return {"n_a": len(a), "n_b": len(b), "n_groups": len(parts), "n_links": len(pairs),
-                "groups_sha256": hashlib.sha256(";".join(parts).encode()).hexdigest(),
-                "pairs": distinct.astype(self.dtype).tobytes(), "times": times.astype("<u4").tobytes()}
-
 
 NO_TOKENS = {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "pairs": b"", "times": b""}
 
@@ -249,7 +280,7 @@ def documents(docs: DataFrame, a_path: str, b_path: str, *, doc_id: str = "doc_i
         for batch in batches:
             for start, stop in slices(batch.column(1)):
                 texts = batch.column(1).slice(start, stop - start).to_pylist()
-                found = [NO_TOKENS if ids is None else aligner.aligned(*ids) for ids in aligner.encoded(texts)]
+                found = aligner.documents(texts)
                 columns = [pa.array([f[c] for f in found], pa.int64()) for c in COUNTS]
                 columns += [pa.array([f["groups_sha256"] for f in found], pa.string())]
                 columns += [pa.array([f[c] for f in found], pa.binary()) for c in ("pairs", "times")]
