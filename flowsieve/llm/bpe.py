@@ -135,6 +135,14 @@ class Tokenizer:
         return kept["codec"][1]
 
 
+def _task(batches, each, codec, rows: int = 500):
+    """per_text over a task's batches; the worker keeps the codec for later tasks, but not the chunks this one has met."""
+    try:
+        yield from per_text(batches, each, rows)
+    finally:
+        codec().memory.clear()
+
+
 def _texts(column) -> list[str]:
     return [t if isinstance(t, str) else "" for t in column]
 
@@ -151,7 +159,7 @@ def encoded(docs: DataFrame, tokenizer: Tokenizer, *, text: str = "text", ids: s
         return out
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return rows.mapInPandas(lambda batches: per_text(batches, each, 200), f"{fields}`{ids}` array<int>")
+    return rows.mapInPandas(lambda batches: _task(batches, each, lambda: shared.value.codec(), 200), f"{fields}`{ids}` array<int>")
 
 
 def decoded(rows: DataFrame, tokenizer: Tokenizer, *, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -185,5 +193,5 @@ def digests(docs: DataFrame, tokenizer: Tokenizer, *, doc_id: str = "doc_id", te
         return pd.concat([part[["doc_id"]], made], axis=1)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(lambda batches: per_text(batches, each),
+    return rows.mapInPandas(lambda batches: _task(batches, each, lambda: shared.value.codec()),
                             f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

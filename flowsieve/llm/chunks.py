@@ -29,14 +29,19 @@ class Memory:
     """Encodings of chunks. `encode` gets distinct chunks and returns one value for each.
 
     Chunks with a leading space are kept under the rest of them, which str.split gives without a copy; others have a
-    table of their own. A table that is full is emptied.
+    table of their own. A table that is full is emptied. `limit` bounds the chunks and `longest` the length of one, so
+    a table has at most some 80 MB; a task that is done calls `clear`.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 1_000_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 200_000, longest: int = 64):
         self.encode, self.limit, self.longest = encode, limit, longest
         self.after_space: dict[str, object] = {}
         self.other: dict[str, object] = {}
 
+    def clear(self) -> None:
+        self.after_space.clear()
+        self.other.clear()
+
     def _learn(self, table: dict, wanted: set[str], lead: str) -> dict:
         """A table that holds all wanted chunks; long ones are only in the returned one."""
         new = list(wanted.difference(table))

@@ -202,22 +202,25 @@ def segments(docs: DataFrame, tokenizer_path: str, end_id: int, *, doc_id: str =
             return pd.DataFrame({"part": [part], "first": [first], "doc_ids": [list(names)], "n_ids": [len(ids)],
                                  "segment": [write_segment(ids, np.array(lengths))]})
 
-        for batch in batches:
-            for start in range(0, len(batch), 200):
-                some = batch.iloc[start:start + 200]
-                texts = [t if isinstance(t, str) else "" for t in some["text"]]
-                for name, parts in zip(some["doc_id"], memory.values(texts)):
-                    data = b"".join(parts) + end
-                    held.append(data)
-                    lengths.append(len(data) // 4)
-                    names.append(None if pd.isna(name) else int(name))
-                    size += lengths[-1]
-                    if size >= SEGMENT_IDS:
-                        yield out()
-                        first += size
-                        held, lengths, names, size = [], [], [], 0
-        if names:
-            yield out()
+        try:
+            for batch in batches:
+                for start in range(0, len(batch), 200):
+                    some = batch.iloc[start:start + 200]
+                    texts = [t if isinstance(t, str) else "" for t in some["text"]]
+                    for name, parts in zip(some["doc_id"], memory.values(texts)):
+                        data = b"".join(parts) + end
+                        held.append(data)
+                        lengths.append(len(data) // 4)
+                        names.append(None if pd.isna(name) else int(name))
+                        size += lengths[-1]
+                        if size >= SEGMENT_IDS:
+                            yield out()
+                            first += size
+                            held, lengths, names, size = [], [], [], 0
+            if names:
+                yield out()
+        finally:
+            memory.clear()      # the worker keeps the encoder for later tasks, but not this one's chunks
 
     return ordered.mapInPandas(pack, "part int, first bigint, doc_ids array<bigint>, n_ids bigint, segment binary")
 
