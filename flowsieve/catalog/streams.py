@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from flowsieve import fixtures as fx
 from flowsieve.catalog import sql
+from flowsieve.catalog.events import _log as event_log
 from flowsieve.catalog.network import ACCEPTED_NOTES, OPTS, accepted
 from flowsieve.catalog.registry import query, shared_per_input
 from flowsieve.catalog.sql import with_
 from flowsieve.operators import blocks as bl
-from flowsieve.operators import features, policy, views
+from flowsieve.operators import features, notify, policy
 from flowsieve.schemas import PACKETS
 from flowsieve.session import scratch_path
+from flowsieve.sources import events, tail
 from flowsieve.streaming import flows as sf
-from flowsieve.streaming import live
+from flowsieve.streaming import kpis, late, live, probes, state
 
 DELAY = "1 hour"
 HOUR_US = 3_600_000_000
@@ -23,7 +25,7 @@ KEEP_EXPIRED_US = 30 * 86_400_000_000
 SLICE_US = 10 * 86_400_000_000
 
 
-def _packet_files(spark, d: str, packets=None) -> str:
+def _packet_files(spark, d: str, packets=None, end: bool = True) -> str:
     """Packets in slices of ten days, written in time order, then an end-of-input marker."""
     path = scratch_path(spark, "packets")
     rows = (fx.packets(spark, d) if packets is None else packets).select(*[F.col(f.name).cast(f.dataType) for f in PACKETS])
@@ -32,6 +34,8 @@ def _packet_files(spark, d: str, packets=None) -> str:
     while at <= high:
         rows.filter(F.col("ts_us").between(at, at + SLICE_US - 1)).coalesce(1).write.mode("append").parquet(path)
         at += SLICE_US
+    if not end:
+        return path
     end = rows.orderBy(F.desc("ts_us")).limit(1).withColumn("ts_us", F.unix_micros(F.lit(sf.END_OF_INPUT).cast("timestamp")))
     end.coalesce(1).write.mode("append").parquet(path)
     return path
@@ -43,11 +47,15 @@ def _stream(spark, path: str):
 
 def _finish(df, spark, name: str):
     """Runs a stream to the end of its input into a table and returns the table."""
+    return _finished(df, spark, name)[:2]
+
+
+def _finished(df, spark, name: str):
     out = scratch_path(spark, name)
     run = (df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", scratch_path(spark, "progress"))
            .trigger(availableNow=True).start(out))
     run.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out), run
+    return spark.read.schema(df.schema).parquet(out), run, out
 
 
 def _flows(spark, d: str):
@@ -138,24 +146,118 @@ def stream_eventlog(spark, d):
     return _finish(rows, spark, "tail")[0].groupBy("type").agg(F.count("*").alias("records"), F.count_distinct("flow_id").alias("flows"))
 
 
+# a flow still to come starts at most this long before the newest end: the packets come in slices of ten days
+_HOLD = f"{(HOUR_US + OPTS.active_us + SLICE_US) // 1_000_000 + 1} seconds"
+
+
 @query("stream_kpis", with_(*sql.DECISION_PARTS, select="""
 SELECT ts_us - ts_us % 21600000000 AS window_us, 0 AS flows, count(*) FILTER (action = 'allow') AS allows, count(*) FILTER (action = 'alert') AS alerts,
   count(*) FILTER (action = 'block') AS blocks, 0 AS probes FROM decisions GROUP BY 1"""))
 def stream_kpis(spark, d):
-    """Tumbling-window counts over the stream of decisions."""
+    """Tumbling windows counted inside the stream of decisions, upserted batch by batch."""
     decided = policy.flat(policy.decide(_verdicts(_flows(spark, d)), OPTS))
-    table, _ = _finish(decided.select(F.lit("decision").alias("type"), "action", F.col("last_us").alias("ts_us")), spark, "actions")
-    return views.windowed_counts(table.withColumn("event_time", F.timestamp_micros("ts_us")), "6 hours")
+    actions, _, path = _finished(decided.select(F.lit("decision").alias("type"), "action", F.col("last_us").alias("ts_us")), spark, "actions")
+    rows = spark.readStream.schema(actions.schema).option("maxFilesPerTrigger", 16).parquet(path)
+    counts = kpis.LiveCounts(spark, scratch_path(spark, "kpis"))
+    counts.start(rows.withColumn("event_time", F.timestamp_micros("ts_us")), "6 hours", _HOLD).awaitTermination()
+    return counts.current()
+
+
+@shared_per_input
+def _requests(spark, d: str) -> str:
+    """Block rows of the completed flows and of their decoy contacts, in files that end with an end-of-input marker."""
+    flows, _, path = _finished(_flows(spark, d), spark, "flows")
+    stream = spark.readStream.schema(flows.schema).parquet(path)
+    decided = policy.decide(_verdicts(stream).drop("probe"), OPTS)
+    probed = policy.decide(policy.probe_verdicts(policy.probe_events(decided, OPTS)), OPTS)
+    columns = ["flow_id", "ts_us", "action", "attacker_ip", "reason", "confidence", "source"]
+    flat = policy.flat(decided.withColumn("ts_us", F.col("last_us"))).select(*columns).unionByName(policy.flat(probed).select(*columns))
+    made = bl.blocks_from_decisions(flat, OPTS)
+    rows, out = _finish(made, spark, "requests")[0], scratch_path(spark, "requests")
+    rows.write.parquet(out)         # a stream's own folder shows no files but its own
+    end = rows.limit(1).withColumn("blocked_at_us", F.unix_micros(F.lit(sf.END_OF_INPUT).cast("timestamp")))
+    end.coalesce(1).write.mode("append").parquet(out)
+    return out
+
+
+def _block_rows(spark, d: str):
+    columns = "ip string, flow_id bigint, blocked_at_us bigint, expires_at_us bigint, reason string, source string"
+    return spark.readStream.schema(columns).option("maxFilesPerTrigger", 24).parquet(_requests(spark, d))
+
+
+@query("stream_block_state", with_(*sql.VERDICT_PARTS, _LIVE, select="""
+SELECT ip, flow_id, blocked_at_us, blocked_at_us + 172800000000 AS expires_at_us, 1 AS expiries FROM live_blocks
+QUALIFY row_number() OVER (PARTITION BY ip ORDER BY blocked_at_us DESC, flow_id DESC) = 1"""))
+def stream_block_state(spark, d):
+    """The block list as keyed state: its change log ends with the expiry of every address's last block."""
+    changes = _finish(state.block_changes(state.operations(_block_rows(spark, d)), _HOLD), spark, "changes")[0]
+    last = changes.groupBy("ip").agg(
+        F.max("at_us").alias("at_us"), F.max_by("change", F.struct("at_us", F.col("change") == "expire")).alias("change"))
+    gone = changes.filter("change = 'expire'").join(last.filter("change = 'expire'"), ["ip", "at_us"])
+    ended = gone.groupBy("ip", "expires_at_us").agg(F.count("*").alias("expiries"))
+    return state.standing(changes, 0).join(ended, ["ip", "expires_at_us"], "left").select("ip", "flow_id", "blocked_at_us", "expires_at_us", "expiries")
+
+
+@query("stream_cooldown", with_(*sql.VERDICT_PARTS, _LIVE, """blocks AS (
+  SELECT ip, flow_id, blocked_at_us, NULL AS source, NULL AS reason FROM live_blocks)""", ACCEPTED_NOTES, select="""
+SELECT 'outbox' AS channel, ts_us, flow_id, ip FROM notes WHERE ok"""))
+def stream_cooldown(spark, d):
+    """The cooldown as keyed state of its channel."""
+    asked = notify.requests(_block_rows(spark, d), OPTS)
+    return _finish(state.accepted_stream(asked, OPTS, _HOLD), spark, "accepted")[0].select("channel", "ts_us", "flow_id", "ip")
+
+
+@query("stream_early_probes", with_(*sql.PACKET_PARTS, select="""
+SELECT DISTINCT src_ip AS attacker_ip, CASE WHEN src_ip IN ('10.0.0.1', '192.168.0.1') THEN 'allow' ELSE 'block' END AS action
+FROM accepted WHERE protocol = 6 AND dst_port = 2323 AND tcp_flags & 18 = 2"""))
+def stream_early_probes(spark, d):
+    """Decoy contacts decided at their first packet."""
+    stream = _stream(spark, _packet_files(spark, d, accepted(spark, d)))
+    return _finish(probes.early_decisions(stream, OPTS, DELAY), spark, "early")[0].select("attacker_ip", "action").distinct()
+
+
+def _split(spark, d: str) -> late.Splitter:
+    """Every 50th packet arrives after the others; those behind the watermark go to quarantine."""
+    rows = accepted(spark, d)
+    path = _packet_files(spark, d, rows.filter("packet_id % 50 <> 0"), end=False)
+    behind = rows.filter("packet_id % 50 = 0").select(*[F.col(f.name).cast(f.dataType) for f in PACKETS])
+    behind.repartition(4, "packet_id").write.mode("append").parquet(path)
+    splitter = late.Splitter(spark, scratch_path(spark, "split"), HOUR_US)
+    splitter.start(_stream(spark, path)).awaitTermination()
+    return splitter
+
+
+@query("stream_quarantine", with_(*sql.PACKET_PARTS, select="""
+SELECT packet_id, ts_us, packet_id % 50 = 0 AND ts_us <= (SELECT max(ts_us) FROM accepted WHERE packet_id % 50 <> 0) // 1000 * 1000 - 3600000000 AS late
+FROM accepted"""))
+def stream_quarantine(spark, d):
+    splitter = _split(spark, d)
+    rows = [t.select("packet_id", "ts_us", F.lit(is_late).alias("late")) for t, is_late in ((splitter.on_time(), False), (splitter.quarantine(), True))]
+    return rows[0].unionByName(rows[1])
 
 
 @query("late_packets")
 def late_packets(spark, d):
-    """Every 50th packet arrives after the others: those behind the watermark are dropped and counted."""
-    rows = accepted(spark, d)
-    path = _packet_files(spark, d, rows.filter("packet_id % 50 <> 0"))
-    late = rows.filter("packet_id % 50 = 0").select(*[F.col(f.name).cast(f.dataType) for f in PACKETS])
-    late.coalesce(1).write.mode("append").parquet(path)
-    table, run = _finish(sf.assemble_stream(_stream(spark, path), OPTS, DELAY), spark, "flows")
-    dropped = sum(op.numRowsDroppedByWatermark for p in run.recentProgress for op in p.stateOperators)
-    return table.agg(F.sum(F.col("fwd_packets") + F.col("bwd_packets")).alias("packets_in_flows")).withColumn(
-        "packets_dropped", F.lit(dropped).cast("bigint"))
+    """Packets in flows and in quarantine when every 50th packet arrives after the others."""
+    splitter = _split(spark, d)
+    table, _ = _finish(sf.assemble_stream(_with_end(spark, splitter), OPTS, DELAY), spark, "flows")
+    return table.agg(F.sum(F.col("fwd_packets") + F.col("bwd_packets")).alias("packets_in_flows")).crossJoin(
+        splitter.quarantine().agg(F.count("*").alias("packets_dropped")))
+
+
+def _with_end(spark, splitter: late.Splitter):
+    """The on-time packets as a stream, then an end-of-input marker."""
+    end = splitter.on_time().limit(1).withColumn("ts_us", F.unix_micros(F.lit(sf.END_OF_INPUT).cast("timestamp")))
+    end.coalesce(1).write.parquet(f"{splitter.folder}/rows/batch={live.LAST_BATCH}/late=false")
+    return splitter.on_time_stream()
+
+
+@query("stream_log_lines", with_(*sql.LOG_PARTS, select="SELECT type, count(*) AS records, count(protocol) AS with_flow FROM log GROUP BY type"))
+def stream_log_lines(spark, d):
+    """The event log as text files, followed by byte offsets in small pieces."""
+    path = scratch_path(spark, "lines")
+    events.encode(event_log(spark, d).drop("ts_us", "seq")).select("value").write.text(path)
+    spark.dataSource.register(tail.LogTail)
+    lines = spark.readStream.format("log_tail").option("glob", "part-*").option("bytesPerPartition", 1 << 18).load(path)
+    rows = _finish(events.decode(lines).select("type", F.col("flow").isNotNull().alias("has_flow")), spark, "followed")[0]
+    return rows.groupBy("type").agg(F.count("*").alias("records"), F.count_if("has_flow").alias("with_flow"))

@@ -40,7 +40,7 @@ def keyed(packets: DataFrame) -> DataFrame:
         *KEY, "from_lo", "ts_us", "packet_id", "size", "tcp_flags")
 
 
-def _packet_sums() -> list[Column]:
+def packet_sums() -> list[Column]:
     lo, tcp = F.col("from_lo"), F.col("protocol") == 6
 
     def flagged(bit: int, name: str) -> Column:
@@ -53,7 +53,7 @@ def _packet_sums() -> list[Column]:
             flagged(0x01, "fin_count"), flagged(0x04, "rst_count")]
 
 
-def _first_ids(at_start: Column) -> list[Column]:
+def first_ids(at_start: Column) -> list[Column]:
     """Lowest packet id per direction among the packets at the start time: orients the flow."""
     return [F.min(F.when(at_start & F.col("from_lo"), F.col("packet_id"))).alias("lo_first"),
             F.min(F.when(at_start & ~F.col("from_lo"), F.col("packet_id"))).alias("hi_first")]
@@ -74,7 +74,7 @@ def _ordinary_segments(keyed: DataFrame, opts: Options) -> DataFrame:
     late = F.col("ts_us") - F.col("session_start") > opts.active_us
     atoms = (sessions.withColumn("at", F.when(late, F.col("ts_us")).otherwise(F.col("session_start")))
              .groupBy(*KEY, "session_start", "at")
-             .agg(F.max("ts_us").alias("last_us"), *_packet_sums(), *_first_ids(F.col("ts_us") == F.col("at"))))
+             .agg(F.max("ts_us").alias("last_us"), *packet_sums(), *first_ids(F.col("ts_us") == F.col("at"))))
     names = ["last_us", *SUMS, *FIRST]
     packed = F.struct(F.col("at").alias("start_us"), *names)
 
@@ -101,7 +101,7 @@ def _ordinary_segments(keyed: DataFrame, opts: Options) -> DataFrame:
 def _hot_segments(keyed: DataFrame, opts: Options) -> DataFrame:
     tick = F.floor(F.col("at") / F.lit(opts.tick_us)).cast("bigint")
     atoms = settle(keyed.withColumn("at", F.col("ts_us")).groupBy(*KEY, "at")
-                   .agg(*_packet_sums(), *_first_ids(F.lit(True)))
+                   .agg(*packet_sums(), *first_ids(F.lit(True)))
                    .withColumn("tick", tick))
     in_tick = Window.partitionBy(*KEY, "tick").orderBy("at")
     by_tick = Window.partitionBy(*KEY).orderBy("tick")

@@ -1,29 +1,32 @@
-"""Flow assembly on a packet stream.
+"""Flow assembly on a packet stream, in two levels of state.
 
-State per flow key: packets the watermark has not passed yet, and the open segment. Packets enter
-the segment in (ts_us, packet_id) order once the watermark has passed them, so the result does not
-depend on arrival order within the allowed delay and equals the batch result. A segment is emitted
-by a later packet that breaks it, or by a timer once the watermark is strictly past its timeout.
+Packets are first summed into atoms, one per flow key and distinct time, by a windowed aggregation in the JVM. Its state is
+dealt by (key, time), so a key with a large share of all packets is spread over the tasks, and its partial sums shrink the
+shuffle. An atom leaves when the watermark has passed its tick. The second level is keyed by flow and holds
+the open segment only: it orders a batch's atoms, finds cuts by array searches, one step a segment, and never sees a packet.
+
+The result does not depend on arrival order within the allowed delay and equals the batch result. A segment is emitted by a
+later atom that breaks it, or by a timer once all ticks up to its timeout have been delivered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowsieve.operators.filters import accept, valid_ports
-from flowsieve.operators.flows import KEY, SUMS, flow_key, oriented
+from flowsieve.operators.flows import FIRST, KEY, SUMS, first_ids, flow_key, oriented, packet_sums
 from flowsieve.options import Options
 
-SEGMENT = "start_us bigint, last_us bigint, " + ", ".join(f"{n} bigint" for n in SUMS) + ", lo_first bigint, hi_first bigint"
-PENDING = "ts_us bigint, packet_id bigint, from_lo boolean, size bigint, tcp_flags int"
+SEGMENT = "start_us bigint, last_us bigint, " + ", ".join(f"{n} bigint" for n in SUMS + FIRST)
 OUTPUT = "lo string, hi string, protocol int, " + SEGMENT
 SEGMENT_NAMES = [c.split()[0] for c in SEGMENT.split(", ")]
-PENDING_NAMES = [c.split()[0] for c in PENDING.split(", ")]
+TICK_US = 1_000_000      # atoms leave when the watermark has passed their tick
 # keyed state with timers needs this state store
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -45,92 +48,97 @@ def filter_stream(packets: DataFrame, opts: Options, delay: str) -> DataFrame:
     return accept(event_time(packets, delay).filter(before_end()), opts)
 
 
-class _Segments(StatefulProcessor):
+def atoms(packets: DataFrame, tick_us: int = TICK_US) -> DataFrame:
+    """One row per flow key and distinct time, with its tick's event time; an aggregation in the JVM, dealt by key and time."""
+    tick = F.window("event_time", f"{tick_us} microseconds")
+    summed = (flow_key(packets.filter(valid_ports())).groupBy(*KEY, "ts_us", tick.alias("tick"))
+              .agg(*packet_sums(), *first_ids(F.lit(True))))
+    return summed.select(*KEY, F.window_time("tick").alias("event_time"), "ts_us", *SUMS, *FIRST)
+
+
+class Segments:
+    """Cuts the atoms of one flow into segments, from an open segment on."""
+
     def __init__(self, idle_us: int, active_us: int):
         self.idle_us, self.active_us = idle_us, active_us
 
+    def fold(self, held: dict | None, rows: pd.DataFrame) -> tuple[list[dict], dict | None]:
+        """(closed segments, the open one). Atoms of one flow have distinct times, later than those folded before."""
+        rows = rows.sort_values("ts_us")
+        t = rows["ts_us"].to_numpy(dtype="int64")
+        upto = np.concatenate((np.zeros((1, len(SUMS)), "int64"), np.cumsum(rows[SUMS].to_numpy(dtype="int64"), axis=0)))
+        first = rows[FIRST].astype("Int64")
+        gaps = np.flatnonzero(np.diff(t) > self.idle_us) + 1       # places before which the idle timeout cuts
+        closed, at = [], 0
+        while at < len(t):
+            if held is not None and (t[at] - held["last_us"] > self.idle_us or t[at] - held["start_us"] > self.active_us):
+                closed.append(held)
+                held = None
+            if held is None:
+                held = {"start_us": int(t[at]), "last_us": 0, **dict.fromkeys(SUMS, 0),
+                        **{n: None if pd.isna(first[n].iloc[at]) else int(first[n].iloc[at]) for n in FIRST}}
+            later = np.searchsorted(gaps, at, "right")
+            end = int(np.searchsorted(t, held["start_us"] + self.active_us, "right"))
+            end = min(end, int(gaps[later])) if later < len(gaps) else end
+            held["last_us"] = int(t[end - 1])
+            for n, more in zip(SUMS, (upto[end] - upto[at]).tolist()):
+                held[n] += more
+            at = end
+        return closed, held
+
+    def deadline(self, held: dict) -> int:
+        return min(held["last_us"] + self.idle_us, held["start_us"] + self.active_us)
+
+
+class _OpenSegments(StatefulProcessor):
+    def __init__(self, rule: Segments, tick_us: int):
+        self.rule, self.tick_us = rule, tick_us
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", PENDING)
         self.open = handle.getValueState("open", SEGMENT)
 
-    def _fresh(self, row) -> dict:
-        return {"start_us": row.ts_us, "last_us": row.ts_us, **{n: 0 for n in SUMS}, "lo_first": None, "hi_first": None}
-
-    def _absorb(self, seg: dict, row, tcp: bool) -> None:
-        side = "lo" if row.from_lo else "hi"
-        seg[f"{side}_packets"] += 1
-        seg[f"{side}_bytes"] += row.size
-        if tcp:
-            for bit, name in ((2, "syn_count"), (16, "ack_count"), (1, "fin_count"), (4, "rst_count")):
-                seg[name] += 1 if row.tcp_flags & bit else 0
-        if row.ts_us == seg["start_us"] and seg[f"{side}_first"] is None:
-            seg[f"{side}_first"] = row.packet_id
-        seg["last_us"] = max(seg["last_us"], row.ts_us)
-
-    def _advance(self, key, rows: list, watermark_ms: int) -> Iterator[pd.DataFrame]:
-        """Process what the watermark has passed, emit what is closed, set one timer for what is next."""
-        ready = sorted((r for r in rows if r.ts_us <= watermark_ms * 1000), key=lambda r: (r.ts_us, r.packet_id))
-        waiting = [r for r in rows if r.ts_us > watermark_ms * 1000]
-        held = self.open.get() if self.open.exists() else None
-        seg = dict(zip(SEGMENT_NAMES, held)) if held is not None else None
-        closed = []
-        for row in ready:
-            if seg is not None and (row.ts_us - seg["last_us"] > self.idle_us or row.ts_us - seg["start_us"] > self.active_us):
-                closed.append(seg)
-                seg = None
-            seg = seg or self._fresh(row)
-            self._absorb(seg, row, key[2] == 6)
-        deadline = None
-        if seg is not None:
-            deadline = min(seg["last_us"] + self.idle_us, seg["start_us"] + self.active_us)
-            # packets still waiting are later than the watermark; they may belong to this segment
-            if not waiting and watermark_ms * 1000 > deadline:
-                closed.append(seg)
-                seg, deadline = None, None
-        self.pending.clear()
-        if waiting:
-            self.pending.put([tuple(getattr(r, n) for n in PENDING_NAMES) for r in waiting])
-        if seg is not None:
-            self.open.update(tuple(seg[n] for n in SEGMENT_NAMES))
-        elif held is not None:
-            self.open.clear()
+    def _advance(self, key, rows: pd.DataFrame | None, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        """Folds the atoms, emits what is closed, and sets one timer for the open segment."""
+        stored = self.open.get() if self.open.exists() else None
+        closed, held = [], dict(zip(SEGMENT_NAMES, stored)) if stored is not None else None
+        if rows is not None:
+            closed, held = self.rule.fold(held, rows)
+        # all atoms before this time have been delivered
+        complete = watermark_ms * 1000 // self.tick_us * self.tick_us
+        if held is not None and self.rule.deadline(held) < complete:
+            closed.append(held)
+            held = None
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if waiting:
-            self.handle.registerTimer(min(r.ts_us for r in waiting) // 1000 + 1)
-        elif deadline is not None:
-            self.handle.registerTimer(deadline // 1000 + 1)
+        if held is not None:
+            self.open.update(tuple(held[n] for n in SEGMENT_NAMES))
+            passed = (self.rule.deadline(held) // self.tick_us + 1) * self.tick_us
+            self.handle.registerTimer(-(-passed // 1000))
+        elif stored is not None:
+            self.open.clear()
         if closed:
-            frame = pd.DataFrame(closed, columns=SEGMENT_NAMES).astype({"lo_first": "Int64", "hi_first": "Int64"})
+            frame = pd.DataFrame(closed, columns=SEGMENT_NAMES).astype({n: "Int64" for n in FIRST})
             for i, name in enumerate(KEY):
                 frame.insert(i, name, key[i])
             yield frame
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for batch in rows for r in batch[PENDING_NAMES].itertuples(index=False)]
-        yield from self._advance(key, self._held() + new, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key, pd.concat(list(rows)), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, self._held(), timerValues.getCurrentWatermarkInMs())
-
-    def _held(self) -> list:
-        stored = list(self.pending.get())
-        frame = pd.DataFrame([tuple(r) for r in stored], columns=PENDING_NAMES)
-        return list(frame.itertuples(index=False))
+        yield from self._advance(key, None, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def assemble_stream(packets: DataFrame, opts: Options, delay: str = "10 seconds") -> DataFrame:
+def assemble_stream(packets: DataFrame, opts: Options, delay: str = "10 seconds", tick_us: int = TICK_US) -> DataFrame:
     """Completed flows of a packet stream, in append mode."""
     packets.sparkSession.conf.set(*STATE_STORE)
     live = event_time(packets, delay).filter(before_end())
-    rows = flow_key(live.filter(valid_ports())).select(
-        *KEY, "event_time", "ts_us", "packet_id", "from_lo", "size", "tcp_flags")
-    segments = rows.groupBy(*KEY).transformWithStateInPandas(
-        statefulProcessor=_Segments(opts.idle_us, opts.active_us), outputStructType=OUTPUT,
+    segments = atoms(live, tick_us).groupBy(*KEY).transformWithStateInPandas(
+        statefulProcessor=_OpenSegments(Segments(opts.idle_us, opts.active_us), tick_us), outputStructType=OUTPUT,
         outputMode="append", timeMode="eventTime")
     return oriented(segments)
 
