@@ -16,15 +16,26 @@ from flowsieve.session import scratch_path
 
 #: Near duplicates of the stage; op8_shingle_join has a contract of its own, 4 words and 85 %.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Rows and bytes of an Arrow batch: with whole texts in it, 10,000 rows are tens of megabytes on both sides of a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 1 << 24
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches below the stage's bounds; smaller ones that are set already stay."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS if rows <= 0 else min(rows, BATCH_ROWS)))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
+    bounded_batches(spark)
     return quality_rules.kept_rows(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, that of the smallest id; links are pairs with NEAR_PERCENT % of common NEAR_WORDS-word shingles."""
+    bounded_batches(spark)
     return shingle_join.representatives(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
@@ -43,6 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, with the digests of ids and decoded text."""
+    bounded_batches(spark)
     return bpe.digests(docs, tokenizer(), with_ids=True)
 
 
