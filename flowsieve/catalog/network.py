@@ -176,6 +176,18 @@ def flow_describe(spark, d):
     return flow_rows(spark, d).select("flow_id", F.regexp_replace(text.flow_text(), r"dur=[0-9.]+s$", "").alias("line"))
 
 
+@query("display_cells", with_(*sql.VERDICT_PARTS, select="""
+SELECT flow_id, CASE WHEN flow_id % 9 = 0 THEN '—' ELSE strftime(make_timestamp(last_us), '%H:%M:%S') END AS shown_time,
+  CASE WHEN flow_id % 7 = 0 THEN '—' WHEN p_anomaly = floor(p_anomaly) THEN CAST(p_anomaly::BIGINT AS VARCHAR) ELSE printf('%.4f', p_anomaly) END AS cell,
+  concat(printf('%.2f', p_anomaly * 100), '%') AS share FROM verdicts"""))
+def display_cells(spark, d):
+    """Times, numbers and shares as the views show them; absent ones are a dash."""
+    rows = fx.scores(feature_rows(spark, d))
+    p, absent = F.col("probability")[0], lambda n, value: F.when(F.col("flow_id") % n != 0, value)
+    return rows.select("flow_id", text.shown_time(absent(9, F.col("last_us") / F.lit(1e6))).alias("shown_time"),
+                       text.shown(absent(7, p)).alias("cell"), text.percent(p).alias("share"))
+
+
 # ---- features
 
 @query("flow_features", with_(*sql.FEATURE_PARTS, select="SELECT flow_id, " + ", ".join(

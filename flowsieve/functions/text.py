@@ -103,3 +103,8 @@ def shown(value: Column, digits: int = 4) -> Column:
 
 def percent(value: Column) -> Column:
     return F.concat(F.format_string("%.2f", value * 100), F.lit("%"))
+
+
+def shown_time(seconds: Column) -> Column:
+    """Clock time in the session's zone of a time in seconds; dash where there is none."""
+    return F.coalesce(F.date_format(F.timestamp_seconds(F.nullif(seconds, F.lit(0.0))), "HH:mm:ss"), F.lit(DASH))
