@@ -68,6 +68,14 @@ def train_boosted(spark, d):
     return _predicted(training.fit_boosted(_rows(spark, d), _stats(spark, d), SETTINGS), _test(spark, d))
 
 
+@query("boosted_patience")
+def boosted_patience(spark, d):
+    """Boosting of 40 rounds at most, cut at the best validation round once 20 rounds have brought none better."""
+    settings = training.Settings(trees=40, patience=20)
+    fitted = training.fit_boosted(_rows(spark, d), _stats(spark, d), settings)
+    return _predicted(fitted, _test(spark, d)).withColumn("rounds", F.lit(fitted.stages[-1].getNumTrees))
+
+
 @query("train_isolation")
 def train_isolation(spark, d):
     return _isolation(spark, d).forest.groupBy("tree").agg(

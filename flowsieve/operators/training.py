@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +32,8 @@ class Settings:
     quick: bool = False
     max_depth: int = 16
     trees: int | None = None
+    #: rounds without a better validation loss after which boosting stops; None leaves stopping to Spark's tolerance rule
+    patience: int | None = None
 
     @property
     def tree_count(self) -> int:
@@ -66,14 +68,50 @@ def fit_forest(rows: DataFrame, stats: DataFrame, settings: Settings) -> Pipelin
 
 
 def fit_boosted(rows: DataFrame, stats: DataFrame, settings: Settings) -> PipelineModel:
+    own = {} if settings.patience else {"validationIndicatorCol": "is_valid", "validationTol": 0.001}
     boosted = GBTClassifier(
         featuresCol="inputs", labelCol="target", weightCol="positive_weight", maxIter=settings.tree_count, maxDepth=6,
-        stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", validationIndicatorCol="is_valid",
-        validationTol=0.001, maxBins=128, maxMemoryInMB=1024, seed=settings.seed)
+        stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", maxBins=128, maxMemoryInMB=1024, seed=settings.seed, **own)
+    if settings.patience:
+        fitted = Pipeline(stages=[*preprocessing(stats), boosted]).fit(rows.filter("split = 'train'"))
+        losses = round_losses(fitted, rows.filter("split = 'valid'"))
+        return PipelineModel([*fitted.stages[:-1], first_rounds(fitted.stages[-1], best_round(losses, settings.patience))])
     seen = rows.filter("split IN ('train', 'valid')").withColumn("is_valid", F.col("split") == "valid")
     return Pipeline(stages=[*preprocessing(stats), boosted]).fit(seen)
 
 
+def round_losses(fitted: PipelineModel, rows: DataFrame) -> list[float]:
+    """The mean logistic loss of the first 1, 2, ... rounds of a boosted model on the rows."""
+    staged = rows
+    for stage in fitted.stages[:-1]:
+        staged = stage.transform(staged)
+    return fitted.stages[-1].evaluateEachIteration(staged)
+
+
+def best_round(losses: list[float], patience: int) -> int:
+    """The round of the least loss among those before `patience` rounds in a row have brought no better one."""
+    best = 0
+    for n, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = n
+        elif n - best >= patience:
+            break
+    return best + 1
+
+
+def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The boosted model of the first rounds alone, with the settings of the whole one."""
+    context, whole = SparkSession.active().sparkContext, model._java_obj
+    jvm, array = context._jvm, context._gateway.new_array
+    trees, weights = array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds), array(jvm.double, rounds)
+    for n, (tree, weight) in enumerate(zip(list(whole.trees())[:rounds], list(whole.treeWeights())[:rounds])):
+        trees[n], weights[n] = tree, weight
+    cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(whole.uid(), trees, weights, whole.numFeatures(), 2)
+    out = GBTClassificationModel(whole.copyValues(cut, jvm.org.apache.spark.ml.param.ParamMap()))
+    out._transfer_params_from_java()
+    return out
+
+
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Adds `probability` as an array in class order: anomaly, benign."""
     stale = [c for c in ("probability",) if c in rows.columns]
