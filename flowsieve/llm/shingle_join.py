@@ -9,13 +9,15 @@ reach the overlap that a text needs are opened.
    first bound asks whether the union of all other texts covers that many. Tokens travel in compact binary
    rows by token range, each once per task, so a token of a third of all documents costs as much as the number of tasks;
    what comes back to a task is which of its tokens others have, and how often they occur (their order).
-2. Texts that pass are partitioned into groups by the smallest of their shared tokens and a band of set sizes. The matrix has a row
-   for each group and shared token; the most frequent ones are left out as far as every partner still meets in a rest.
-   Groups in reach of each other that meet in a row are candidate pairs.
-3. Opening fetches the whole sets of the candidate groups' texts. Groups are cut into blocks of bounded size, and
-   blocks and block pairs are tasks of their own. In a task a text with fewer than ceil(t m) tokens in the other side's union is left
-   out; the rest is searched breadth first with exact overlaps against texts not reached yet, so a dense family costs one sweep, and
-   a spanning forest of the links is returned. Blocks whose texts are known to be connected aren't compared again.
+2. Texts that pass are partitioned into groups by a band of set sizes and the smallest of their shared tokens, and by the smallest
+   under two other orders. The whole sets of texts in groups that share a token with others are fetched. Groups are cut into blocks
+   of bounded size, each a task of its own: it is searched breadth first with exact overlaps against texts not reached yet, so a dense
+   family costs one sweep, and a spanning forest of the links is returned.
+3. Texts that are connected now become one group, whatever they were before. The matrix has a row for each group and shared token; the
+   most frequent ones are left out as far as every partner still meets in a rest. First each group is held against a block of
+   the largest group of a common row, which costs as much as there are texts, and groups that are linked become one; then every
+   pair of groups that still differ, have sizes in reach of each other and meet in a row is opened: the smaller group's texts go to
+   the larger group's blocks. In a task a text with fewer than ceil(t m) tokens in the other side's union is left out.
 
 Components of the forest are found by distributed star steps. Every document then gets its class.
 
@@ -31,7 +33,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.llm.common import BROADCAST_ROWS, held_small, packed
@@ -45,6 +47,7 @@ DOCS_PER_RANGE = 2000
 BLOCK = 500
 LARGE = 50 * BLOCK
 SLICE = 200
+SALTS = 16
 _SALT = 0x5851F42D4C957F2D
 
 
@@ -249,19 +252,50 @@ def _passing(percent: int):
     return each
 
 
-def group_pairs(sketches: DataFrame, percent: int) -> DataFrame:
-    """(g, h), g < h: groups that share a row of the token-group matrix and have set sizes in reach."""
-    cells = sketches.select(F.explode("tokens").alias("token"), "grp").distinct()
-    by_token = Window.partitionBy("token")
-    matrix = cells.withColumn("_low", F.min("grp").over(by_token)).withColumn("_high", F.max("grp").over(by_token))
-    matrix = settle(matrix.filter("_low < _high").select("token", "grp"))
-    pairs = (matrix.select("token", F.col("grp").alias("g")).join(matrix.select("token", F.col("grp").alias("h")), "token")
-             .filter("g < h").select("g", "h").distinct())
-    sizes = sketches.groupBy("grp").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    pairs = (pairs.join(sizes.select(F.col("grp").alias("g"), F.col("low").alias("g_low"), F.col("high").alias("g_high")), "g")
-             .join(sizes.select(F.col("grp").alias("h"), F.col("low").alias("h_low"), F.col("high").alias("h_high")), "h"))
-    reach = (F.col("g_high") * 100 >= F.col("h_low") * percent) & (F.col("h_high") * 100 >= F.col("g_low") * percent)
-    return pairs.filter(reach).select("g", "h")
+def _met(cells: DataFrame, name: str) -> DataFrame:
+    """Cells (token, name) of the tokens that two or more values of `name` have."""
+    ends = cells.groupBy("token").agg(F.min(name).alias("_low"), F.max(name).alias("_high"))
+    return cells.join(ends.filter("_low < _high").select("token"), "token")
+
+
+def matrix(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """(token, one): rows of the token-group matrix that two or more groups share; `one` is (members, class, low, high) of a group."""
+    groups = classes.groupBy("class").agg(F.count("*").alias("members"), F.min("size").alias("low"), F.max("size").alias("high"))
+    cells = sketches.join(classes.select("rep", "class"), "rep").select(F.explode("tokens").alias("token"), "class").distinct()
+    return settle(_met(cells, "class").join(groups, "class").select("token", F.struct("members", "class", "low", "high").alias("one")))
+
+
+def group_pairs(cells: DataFrame, percent: int, *, hubs: bool) -> DataFrame:
+    """(g, h, g_members, h_members): groups of a common row with set sizes in reach, g the larger one.
+
+    With `hubs` g is the largest group of the row, so that there are at most as many pairs as cells.
+    """
+    others = cells.groupBy("token").agg(F.max("one").alias("far")) if hubs else cells.withColumnRenamed("one", "far")
+    pairs = cells.join(others, "token").filter("one < far").select("far", "one").distinct()
+    reach = (F.col("far.high") * 100 >= F.col("one.low") * percent) & (F.col("one.high") * 100 >= F.col("far.low") * percent)
+    return pairs.filter(reach).select(F.col("far.class").alias("g"), F.col("one.class").alias("h"),
+                                      F.col("far.members").alias("g_members"), F.col("one.members").alias("h_members"))
+
+
+def across(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, *, hubs: bool) -> DataFrame:
+    """(a, b): a forest of the links between the groups of each pair.
+
+    A task holds a block of g and a share of the texts of its partners. With `hubs` only the first block of g is taken.
+    """
+    shares = pairs.groupBy("g").agg(F.ceil(F.max("g_members") / BLOCK).cast("int").alias("blocks"),
+                                    F.ceil(F.sum("h_members") / BLOCK).cast("int").alias("shares"))
+    shares = settle(shares)
+    texts = classes.select("rep", "class")
+    part = lambda number, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(number)).cast("int")
+    upto = lambda number: F.explode(F.sequence(F.lit(0), number - 1))
+    own = texts.join(shares, F.col("class") == F.col("g")).withColumn("x", part("blocks", 3))
+    own = own.filter("x = 0") if hubs else own
+    own = own.select("g", "x", upto(F.col("shares")).alias("y"), F.lit(0).alias("side"), "rep", F.col("class").alias("known"))
+    far = pairs.select("g", "h").join(shares, "g").join(texts, F.col("h") == F.col("class"))
+    far = far.select("g", upto(F.lit(1) if hubs else F.col("blocks")).alias("x"), part("shares", 7).alias("y"), F.lit(1).alias("side"),
+                     "rep", F.col("class").alias("known"))
+    work = own.unionByName(far).join(sets, "rep")
+    return work.groupBy("g", "x", "y").applyInPandas(_open_task(percent), "a bigint, b bigint")
 
 
 def opened(rep: np.ndarray, side: np.ndarray, known: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -379,53 +413,64 @@ def _classes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
     found = settle(postings(docs, n, percent, min(22, (ranges - 1).bit_length())))
     sketches = found.filter("kind = 0").select("doc_id", "mark", "size", "digest")
     # one text per digest; a row whose id is null stands for it only where all ids are null
-    texts = settle(sketches.filter("size > 0").groupBy("digest", "size").agg(F.min("doc_id").alias("least"))
-                   .withColumn("rep", F.xxhash64("digest")))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("best")
+    texts = settle(sketches.filter("size > 0").groupBy("digest", "size").agg(best).withColumn("rep", F.xxhash64("digest")))
     shared = found.filter("kind = 1").select("unit", "range", "data").groupBy("range").applyInPandas(
         _shared, "unit bigint, kind int, data binary")
     passing = shared.unionByName(found.filter("kind = 2").select("unit", "kind", "data")).groupBy("unit").applyInPandas(
         _passing(percent), "digest binary, size bigint, grp bigint, tokens array<bigint>")
-    passing = settle(passing)
     # a text may pass in several units
-    pairs = settle(group_pairs(passing, percent))
-    groups = settle(passing.groupBy("digest").agg(F.min("grp").alias("grp")).join(texts, "digest"))
-    paired = pairs.select(F.col("g").alias("grp")).unionByName(pairs.select(F.col("h").alias("grp"))).distinct()
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("members"))
-    sizes = sizes.join(paired.withColumn("paired", F.lit(True)), "grp", "left").filter("members > 1 OR paired").drop("paired")
-    wanted = settle(_sized(groups, settle(sizes)).withColumn(
-        "block", F.pmod(F.xxhash64("rep", F.lit(3)), F.ceil(F.col("members") / BLOCK)).cast("int")))
+    passing = settle(passing.withColumn("rep", F.xxhash64("digest")))
+    groups = settle(passing.groupBy("rep").agg(F.min("grp").alias("grp")))
+    met = _met(passing.select(F.explode("tokens").alias("token"), "grp").distinct(), "grp").select("grp").distinct()
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("members")).join(met.withColumn("met", F.lit(True)), "grp", "left")
+    wanted = _sized(groups, settle(sizes.filter("members > 1 OR met").drop("met"))).select("rep").join(texts, "rep")
+    wanted = settle(wanted.select("rep", "size", "best.doc_id", "best.mark"))
     sets = settle(_whole_sets(docs, wanted, n))
 
-    one = sets.withColumn("side", F.lit(0)).withColumn("known", F.col("rep"))
-    inner = settle(one.groupBy("grp", "block").applyInPandas(_open_task(percent), "a bigint, b bigint"))
-    found = components(inner)
-    known = settle(sets.select("rep", "grp", "block").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-                   .withColumn("known", F.coalesce("component", "rep")).drop("component"))
-    # per block: whether all of it is one class already
-    blocks = known.groupBy("grp", "block").agg(F.min("known").alias("k_low"), F.max("known").alias("k_high"))
-    left = blocks.select(F.col("grp").alias("g"), F.col("block").alias("x"), F.col("k_low").alias("xl"), F.col("k_high").alias("xh"))
-    right = blocks.select(F.col("grp").alias("h"), F.col("block").alias("y"), F.col("k_low").alias("yl"), F.col("k_high").alias("yh"))
-    across = pairs.join(left, "g").join(right, "h")
-    within = left.join(right, F.col("g") == F.col("h")).filter("x < y")
-    columns = ["g", "x", "h", "y", "xl", "xh", "yl", "yh"]
-    tasks = across.select(*columns).unionByName(within.select(*columns)).filter("NOT (xl = xh AND yl = yh AND xl = yl)")
-    tasks = tasks.select("g", "x", "h", "y", F.explode(F.array(
-        F.struct(F.col("g").alias("grp"), F.col("x").alias("block"), F.lit(0).alias("side")),
-        F.struct(F.col("h").alias("grp"), F.col("y").alias("block"), F.lit(1).alias("side")))).alias("s"))
-    tasks = tasks.select("g", "x", "h", "y", F.col("s.grp").alias("grp"), F.col("s.block").alias("block"), F.col("s.side").alias("side"))
-    work = (tasks.join(sets.join(known.select("rep", "known").distinct(), "rep"), ["grp", "block"])
-            .select("g", "x", "h", "y", "side", "rep", "known", "tokens"))
-    outer = work.groupBy("g", "x", "h", "y").applyInPandas(_open_task(percent), "a bigint, b bigint")
-    edges = settle(inner.unionByName(outer))
-    classes = components(edges).join(texts.select(F.col("rep").alias("node"), "least"), "node")
+    edges = settle(_inside(passing.join(wanted.select("rep"), "rep"), sets, percent))
+    joined, done, news = components(edges), None, True
+    for hubs in (True, True, False):
+        if news:
+            classes = wanted.select("rep", "size").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+            classes = settle(classes.select("rep", "size", F.coalesce("component", "rep").alias("class")))
+            cells = matrix(passing.select("rep", "tokens"), classes)
+        elif hubs:
+            continue
+        pairs = group_pairs(cells, percent, hubs=hubs)
+        # a pair was compared in full if the hub was one block and both groups are what they were
+        pairs = settle(pairs if done is None else pairs.join(done, pairs.columns, "left_anti"))
+        news = False
+        if not pairs.isEmpty():
+            more = settle(across(pairs, classes, sets, percent, hubs=hubs))
+            news = not more.isEmpty()
+        if news:
+            edges = settle(edges.unionByName(more))
+            joined = components(edges)
+        full = pairs.filter(F.col("g_members") <= BLOCK)
+        done = full if done is None else done.unionByName(full)
+    classes = joined.join(texts.select(F.col("rep").alias("node"), F.col("best.doc_id").alias("least")), "node")
+    # a large class is dealt over several tasks
     smallest = classes.groupBy("component").agg(F.min("least").alias("class"))
-    classes = classes.join(smallest, "component").select(F.col("node").alias("rep"), "class", "component")
+    smallest = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    classes = classes.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(smallest, ["component", "salt"])
+    classes = classes.select(F.col("node").alias("rep"), "class", "component")
     named = texts.join(classes, "rep", "left").select(
-        "digest", F.coalesce("component", "rep").alias("root"), F.coalesce("class", "least").alias("class"))
+        "digest", F.coalesce("component", "rep").alias("root"), F.coalesce("class", "best.doc_id").alias("class"))
     return (sketches.select("doc_id", "mark", "size", "digest").join(named, "digest", "left")
             .select("doc_id", "mark", "size", "root", "class"))
 
 
+def _inside(sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a forest of the links inside the blocks of the groups by three orders of the tokens."""
+    least = lambda seed: F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(seed))))
+    keys = settle(sketches.select("rep", F.explode(F.array("grp", least(1), least(2))).alias("grp")).distinct())
+    sizes = settle(keys.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1"))
+    block = F.pmod(F.xxhash64("rep", "grp"), F.ceil(F.col("members") / BLOCK)).cast("int")
+    work = _sized(keys, sizes).select("grp", block.alias("block"), F.lit(0).alias("side"), "rep", F.col("rep").alias("known"))
+    return work.join(sets, "rep").groupBy("grp", "block").applyInPandas(_open_task(percent), "a bigint, b bigint")
+
+
 def _sized(groups: DataFrame, sizes: DataFrame) -> DataFrame:
     """Texts of the groups in `sizes` with their group's number of members.
 
@@ -440,18 +485,16 @@ def _sized(groups: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(rep, grp, block, tokens): the sets of the wanted texts, read again from one document of each."""
-    ids = held_small(wanted.select(F.col("least").alias("doc_id"), "rep", "grp", "block"))
-    # an id may stand on several texts; the digest tells which one is meant
-    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"])).select(docs["text"], "rep", "grp", "block")
+    """(rep, tokens): the sets of the wanted texts, read again from one document of each, known by its id and the hash of its text."""
+    ids = held_small(wanted.select("doc_id", "mark", "rep"))
+    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]) & (docs["mark"] == ids["mark"])).select(docs["text"], "rep")
 
     def each(batches):
         for part in _slices(batches):
             sets = Sets(encoded(part["text"]), n)
-            digest = [sets[i].view(np.int64) for i in range(len(part))]
-            marks = [hashlib.blake2b(t.tobytes(), digest_size=16).digest() for t in digest]
-            yield pd.DataFrame({"rep": part["rep"], "grp": part["grp"], "block": part["block"], "mark": marks, "tokens": digest},
-                               index=part.index)
+            tokens = [sets[i].view(np.int64) for i in range(len(part))]
+            marks = [hashlib.blake2b(t.tobytes(), digest_size=16).digest() for t in tokens]
+            yield pd.DataFrame({"rep": part["rep"], "mark": marks, "tokens": tokens}, index=part.index)
 
-    made = rows.mapInPandas(each, "rep bigint, grp bigint, block int, mark binary, tokens array<bigint>")
+    made = rows.mapInPandas(each, "rep bigint, mark binary, tokens array<bigint>")
     return made.filter(F.xxhash64("mark") == F.col("rep")).drop("mark")
