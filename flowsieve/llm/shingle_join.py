@@ -13,8 +13,8 @@ reach the overlap that a text needs are opened.
    under two other orders. The whole sets of texts in groups that share a token with others are fetched. Groups are cut into blocks
    of bounded size, each a task of its own: it is searched breadth first with exact overlaps against texts not reached yet, so a dense
    family costs one sweep, and a spanning forest of the links is returned.
-3. Texts that are connected now become one group, whatever they were before. The matrix has a row for each group and shared token; the
-   most frequent ones are left out as far as every partner still meets in a rest. First each group is held against a block of
+3. Texts that are connected now become one group, whatever they were before. The matrix has a row for each group and shared token; of
+   a whole set only the m - ceil(t m) + 1 rarest tokens count, among which every partner still meets. First each group is held against a block of
    the largest group of a common row, which costs as much as there are texts, and groups that are linked become one; then every
    pair of groups that still differ, have sizes in reach of each other and meet in a row is opened: the smaller group's texts go to
    the larger group's blocks. In a task a text with fewer than ceil(t m) tokens in the other side's union is left out.
@@ -258,6 +258,20 @@ def _met(cells: DataFrame, name: str) -> DataFrame:
     return cells.join(ends.filter("_low < _high").select("token"), "token")
 
 
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, tokens): of a set of m tokens the m - ceil(t m) + 1 rarest ones, without those that no other set has.
+
+    Sets of similarity t share one of them, as rarity is one order for all sets. What many texts share, a passage for
+    instance, is thus left out unless it makes up nearly all of a text.
+    """
+    cells = settle(sets.select("rep", F.explode("tokens").alias("token")))
+    often = cells.groupBy("token").agg(F.count("*").alias("often"))
+    order = cells.join(often, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("order"))
+    count = F.expr(f"cast(size(order) - (size(order) * {percent} + 99) div 100 + 1 as int)")
+    shared = F.filter(F.slice("order", F.lit(1), count), lambda t: t["often"] > 1)
+    return order.select("rep", F.transform(shared, lambda t: t["token"]).alias("tokens"))
+
+
 def matrix(sketches: DataFrame, classes: DataFrame) -> DataFrame:
     """(token, one): rows of the token-group matrix that two or more groups share; `one` is (members, class, low, high) of a group."""
     groups = classes.groupBy("class").agg(F.count("*").alias("members"), F.min("size").alias("low"), F.max("size").alias("high"))
@@ -426,15 +440,16 @@ def _classes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
     sizes = groups.groupBy("grp").agg(F.count("*").alias("members")).join(met.withColumn("met", F.lit(True)), "grp", "left")
     wanted = _sized(groups, settle(sizes.filter("members > 1 OR met").drop("met"))).select("rep").join(texts, "rep")
     wanted = settle(wanted.select("rep", "size", "best.doc_id", "best.mark"))
-    sets = settle(_whole_sets(docs, wanted, n))
+    sets = settle(_whole_sets(docs, wanted, n).dropDuplicates(["rep"]))
 
     edges = settle(_inside(passing.join(wanted.select("rep"), "rep"), sets, percent))
+    rare = settle(rarest(sets, percent))
     joined, done, news = components(edges), None, True
     for hubs in (True, True, False):
         if news:
             classes = wanted.select("rep", "size").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
             classes = settle(classes.select("rep", "size", F.coalesce("component", "rep").alias("class")))
-            cells = matrix(passing.select("rep", "tokens"), classes)
+            cells = matrix(rare, classes)
         elif hubs:
             continue
         pairs = group_pairs(cells, percent, hubs=hubs)
