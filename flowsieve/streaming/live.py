@@ -76,6 +76,7 @@ class Live:
         if finished(self.spark, self._flushed):
             raise RuntimeError(f"the job in {self.folder} was flushed: its input has ended")
         with scratch_scope(self.spark):
+            flows = settle(flows)          # every further read would run the stream's state operators again
             outcome = decide_flows(self.verdicts(flows), self.opts, with_notifications=False)
             horizon = self._moved_horizon(flows, batch_id)
             self._events(outcome, batch_id)

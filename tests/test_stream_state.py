@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from flowsieve.catalog import streams
 from flowsieve.operators.flows import FIRST, SUMS
 from flowsieve.options import Options
 from flowsieve.schemas import PACKETS
@@ -247,3 +248,49 @@ def test_pieces_hold_every_line_once(tmp_path):
         reader = tail.TailReader(str(tmp_path), "*", size)
         read = [(r["position"], r["value"]) for p in reader.partitions({}, reader.latestOffset()) for b in reader.read(p) for r in b.to_pylist()]
         assert [v for _, v in sorted(read)] == lines
+
+
+# --- streams whose cost must not grow with keys, files or repeated reads ---
+
+def test_many_flows_are_cut_at_once():
+    rng = np.random.default_rng(4)
+    times = {None if k == 0 else f"k{k}": rng.integers(0, 300, 40).tolist() for k in range(6)}
+    rule, held, closed = flows.Segments(12, 50), None, []
+    for low, high in ((-1, 90), (90, 100), (100, 301)):
+        part = pd.DataFrame([(k, "h", 6, t) for k, ts in times.items() for t in set(ts) if low < t <= high],
+                            columns=["lo", "hi", "protocol", "ts_us"]).sample(frac=1, random_state=high)
+        done, held = rule.fold_all(held, part.assign(**dict.fromkeys(SUMS, 1), lo_first=part["ts_us"], hi_first=None))
+        closed.append(done)
+        held = flows._unpacked(flows._packed(held))
+    found = pd.concat([*closed, held])
+    assert (found["lo_first"] == found["start_us"]).all() and found["hi_first"].isna().all()
+    for k, ts in times.items():
+        mine = found[found["lo"].isna() if k is None else found["lo"] == k]
+        assert sorted(zip(mine["start_us"], mine["last_us"], mine["lo_packets"])) == by_rule(set(ts), 12, 50)
+
+
+def test_state_values_are_bounded_by_buckets(spark, monkeypatch):
+    monkeypatch.setattr(flows, "BUCKETS", 4)
+    rows = spark.range(300).selectExpr(*[f"CAST({e} AS {f.dataType.simpleString()}) AS {f.name}" for f, e in zip(
+        PACKETS, [{"packet_id": "id", "ts_us": "id * 1000", "src_ip": "concat('10.0.1.', id % 100)", "dst_ip": "'10.0.0.6'", "src_port": "40000",
+                   "dst_port": "80", "protocol": "6", "tcp_flags": "16", "size": "60"}.get(f.name, "NULL") for f in PACKETS])])
+    path, seen = scratch_path(spark, "buckets"), []
+    rows.coalesce(1).write.parquet(path)
+    end = rows.limit(1).withColumn("ts_us", F.unix_micros(F.lit(flows.END_OF_INPUT).cast("timestamp")))
+    end.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(PACKETS).option("maxFilesPerTrigger", 1).parquet(path)
+    made = flows.assemble_stream(stream, Options(flow_idle_timeout=20, flow_active_timeout=50), "1 second")
+    query = (made.writeStream.trigger(availableNow=True).option("checkpointLocation", scratch_path(spark, "progress"))
+             .foreachBatch(lambda df, n: seen.extend(df.select("fwd_packets", "bwd_packets").collect())).start())
+    query.awaitTermination()
+    assert len(seen) == 100 and sum(r["fwd_packets"] + r["bwd_packets"] for r in seen) == 300
+    updated = [op["numRowsUpdated"] for p in query.recentProgress for op in p["stateOperators"] if op["operatorName"].startswith("transformWithState")]
+    assert updated and max(updated) < 100, updated        # a value and a timer for each bucket, not for each flow
+
+
+def test_slices_are_written_in_time_order(spark):
+    day, path = 86_400 * SECOND, scratch_path(spark, "slices")
+    streams._slices(spark.range(40).select((F.col("id") * 17 % 40 * day).alias("at")).repartition(7), "at", path)
+    files = spark.read.parquet(path).groupBy("_metadata.file_path", "_metadata.file_modification_time").agg(
+        F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("n")).orderBy("file_modification_time").collect()
+    assert [(r["low"] // day, r["high"] // day, r["n"]) for r in files] == [(0, 9, 10), (10, 19, 10), (20, 29, 10), (30, 39, 10)]
