@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,14 @@ def worker_memory() -> dict:
     return held.__dict__.setdefault("kept", {})
 
 
+def give_back() -> None:
+    """Returns the memory that a Python worker has freed to the system; else it stays with the worker for all later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc has it
+    if trim:
+        trim(0)
+
+
 def per_text(batches: Iterable[pd.DataFrame], each: Callable[[pd.DataFrame], pd.DataFrame],
              rows: int = 500) -> Iterator[pd.DataFrame]:
     """Applies a function to slices of the batches, so that no large output frame builds up."""

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import BROADCAST_ROWS, held_small, packed
+from flowsieve.llm.common import BROADCAST_ROWS, give_back, held_small, packed
 from flowsieve.llm.graph import components
 from flowsieve.llm.words import Words, encoded, mixed
 from flowsieve.session import settle
@@ -117,10 +117,14 @@ def postings(docs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
         blank = {"doc_id": None, "mark": None, "size": None, "digest": None, "unit": None, "range": None, "data": None}
 
         def flush(unit: int):
-            ids = np.concatenate([*tokens, np.empty(0, np.uint64)]) >> cut
-            ref = np.concatenate([*refs, np.empty(0, np.int64)])
+            ids = np.concatenate([*tokens, np.empty(0, np.uint64)])
+            ids >>= cut
+            ref = np.concatenate([*refs, np.empty(0, np.int32)])
+            tokens.clear()
+            refs.clear()
             order = np.argsort(ids, kind="stable")
             ids, ref = ids[order], ref[order]
+            del order
             unique, start, times = np.unique(ids, return_index=True, return_counts=True)
             once = times == 1
             again = np.repeat(~once, times)
@@ -154,7 +158,7 @@ def postings(docs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
                         continue
                     seen.add(digests[-1])
                     tokens.append(own[:k])
-                    refs.append(np.full(k, len(sizes), np.int64))
+                    refs.append(np.full(k, len(sizes), np.int32))
                     sizes.append(size)
                     marks.append(digests[-1])
                     held += k
@@ -163,10 +167,12 @@ def postings(docs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
                 if held > HELD:
                     yield flush(task << 24 | part_number)
                     part_number += 1
-                    tokens, refs, sizes, marks, held = [], [], [], [], 0
+                    sizes, marks, held = [], [], 0
                     seen.clear()
+                    give_back()
         if sizes:
             yield flush(task << 24 | part_number)
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInPandas(_columns(each), f"kind int, doc_id {kind}, mark bigint, size bigint, digest binary, unit bigint, range bigint, data binary")
@@ -259,36 +265,57 @@ def _met(cells: DataFrame, name: str) -> DataFrame:
 
 
 def rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, tokens): of a set of m tokens the m - ceil(t m) + 1 rarest ones, without those that no other set has.
+    """(rep, tokens): of a set of m tokens the m - ceil(t m) + 1 rarest ones with their places, without those that no other set has.
 
     Sets of similarity t share one of them, as rarity is one order for all sets. What many texts share, a passage for
-    instance, is thus left out unless it makes up nearly all of a text.
+    instance, is thus left out unless it makes up nearly all of a text. Linked sets of sizes s <= m share at least
+    t / (1 + t) (s + m) >= 2 t / (1 + t) s tokens, so their rarest common token is among the first s - ceil(2 t / (1 + t) s) + 1 of
+    the smaller one (`front`), and from it on both have at least as many tokens (`rest`) as they share.
     """
     cells = settle(sets.select("rep", F.explode("tokens").alias("token")))
     often = cells.groupBy("token").agg(F.count("*").alias("often"))
     order = cells.join(often, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("order"))
+    size = F.size("order")
     count = F.expr(f"cast(size(order) - (size(order) * {percent} + 99) div 100 + 1 as int)")
-    shared = F.filter(F.slice("order", F.lit(1), count), lambda t: t["often"] > 1)
-    return order.select("rep", F.transform(shared, lambda t: t["token"]).alias("tokens"))
+    front = F.expr(f"size(order) - (2 * {percent} * size(order) + {99 + percent}) div {100 + percent} + 1")
+    placed = F.transform(F.slice("order", F.lit(1), count), lambda t, i: F.struct(
+        t["token"].alias("token"), (i < front).alias("front"), (size - i).cast("long").alias("rest"), t["often"].alias("often")))
+    return order.select("rep", F.transform(F.filter(placed, lambda t: t["often"] > 1), lambda t: t.dropFields("often")).alias("tokens"))
 
 
 def matrix(sketches: DataFrame, classes: DataFrame) -> DataFrame:
-    """(token, one): rows of the token-group matrix that two or more groups share; `one` is (members, class, low, high) of a group."""
-    groups = classes.groupBy("class").agg(F.count("*").alias("members"), F.min("size").alias("low"), F.max("size").alias("high"))
-    cells = sketches.join(classes.select("rep", "class"), "rep").select(F.explode("tokens").alias("token"), "class").distinct()
-    return settle(_met(cells, "class").join(groups, "class").select("token", F.struct("members", "class", "low", "high").alias("one")))
+    """(token, one): rows of the token-group matrix that two or more groups share.
+
+    `one` is (members, class, low, high, front, rest): a group and, of its texts with the token, the sizes, the least size of one that
+    has it in front (null: none) and the largest rest.
+    """
+    groups = classes.groupBy("class").agg(F.count("*").alias("members"))
+    cells = sketches.join(classes, "rep").select(F.explode("tokens").alias("t"), "class", "size").groupBy("t.token", "class").agg(
+        F.min("size").alias("low"), F.max("size").alias("high"), F.min(F.when(F.col("t.front"), F.col("size"))).alias("front"),
+        F.max("t.rest").alias("rest"))
+    met = _met(settle(cells), "class").join(groups, "class")
+    return settle(met.select("token", F.struct("members", "class", "low", "high", "front", "rest").alias("one")))
 
 
 def group_pairs(cells: DataFrame, percent: int, *, hubs: bool) -> DataFrame:
-    """(g, h, g_members, h_members): groups of a common row with set sizes in reach, g the larger one.
+    """(g, h, g_members, h_members): groups of a common row that can have a link whose rarest common token the row is, g the larger one.
 
-    With `hubs` g is the largest group of the row, so that there are at most as many pairs as cells.
+    With `hubs` g is the largest group of the row, so that there are at most as many pairs as cells. Otherwise the group with the
+    smaller text of the link must have the token in front. Texts that have a token in front consist of it and of tokens no
+    rarer: such texts with a common passage are linked, so they are one group by now and meet the others once.
     """
-    others = cells.groupBy("token").agg(F.max("one").alias("far")) if hubs else cells.withColumnRenamed("one", "far")
-    pairs = cells.join(others, "token").filter("one < far").select("far", "one").distinct()
-    reach = (F.col("far.high") * 100 >= F.col("one.low") * percent) & (F.col("one.high") * 100 >= F.col("far.low") * percent)
-    return pairs.filter(reach).select(F.col("far.class").alias("g"), F.col("one.class").alias("h"),
-                                      F.col("far.members").alias("g_members"), F.col("one.members").alias("h_members"))
+    if hubs:
+        pairs = cells.join(cells.groupBy("token").agg(F.max("one").alias("far")), "token")
+    else:
+        small = cells.filter("one.front IS NOT NULL").withColumnRenamed("one", "small")
+        pairs = small.join(cells.withColumnRenamed("one", "large"), "token").filter(
+            "small.class != large.class AND small.front <= large.high")
+        pairs = pairs.select(F.least("small", "large").alias("one"), F.greatest("small", "large").alias("far"))
+    reach = (F.col("far.high") * 100 >= F.col("one.low") * percent) & (F.col("one.high") * 100 >= F.col("far.low") * percent) & (
+        F.least("one.rest", "far.rest") * (100 + percent) >= (F.col("one.low") + F.col("far.low")) * percent)
+    return pairs.filter("one < far").filter(reach).select(
+        F.col("far.class").alias("g"), F.col("one.class").alias("h"), F.col("far.members").alias("g_members"),
+        F.col("one.members").alias("h_members")).distinct()
 
 
 def across(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, *, hubs: bool) -> DataFrame:
@@ -444,11 +471,12 @@ def _classes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
 
     edges = settle(_inside(passing.join(wanted.select("rep"), "rep"), sets, percent))
     rare = settle(rarest(sets, percent))
-    joined, done, news = components(edges), None, True
+    joined = components(edges)
+    classes = wanted.select("rep", "size").join(joined, F.col("rep") == F.col("node"), "left")
+    classes = settle(classes.select("rep", "size", F.coalesce("component", "rep").alias("class")))
+    done, news, cells = None, True, None
     for hubs in (True, True, False):
         if news:
-            classes = wanted.select("rep", "size").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-            classes = settle(classes.select("rep", "size", F.coalesce("component", "rep").alias("class")))
             cells = matrix(rare, classes)
         elif hubs:
             continue
@@ -460,11 +488,11 @@ def _classes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
             more = settle(across(pairs, classes, sets, percent, hubs=hubs))
             news = not more.isEmpty()
         if news:
-            edges = settle(edges.unionByName(more))
-            joined = components(edges)
+            classes = settle(_joined(classes, more))
         full = pairs.filter(F.col("g_members") <= BLOCK)
         done = full if done is None else done.unionByName(full)
-    classes = joined.join(texts.select(F.col("rep").alias("node"), F.col("best.doc_id").alias("least")), "node")
+    classes = classes.join(texts.select("rep", F.col("best.doc_id").alias("least")), "rep")
+    classes = classes.select(F.col("rep").alias("node"), F.col("class").alias("component"), "least")
     # a large class is dealt over several tasks
     smallest = classes.groupBy("component").agg(F.min("least").alias("class"))
     smallest = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -476,6 +504,16 @@ def _classes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
             .select("doc_id", "mark", "size", "root", "class"))
 
 
+def _joined(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The classes after more links between texts; only the classes that the links join are looked at."""
+    of = classes.select(F.col("rep").alias("node"), "class")
+    ends = edges.join(of.withColumnRenamed("class", "a_class"), F.col("a") == F.col("node")).drop("node")
+    ends = ends.join(of.withColumnRenamed("class", "b_class"), F.col("b") == F.col("node"))
+    found = components(ends.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")))
+    return classes.join(found, F.col("class") == F.col("node"), "left").select(
+        "rep", "size", F.coalesce("component", "class").alias("class"))
+
+
 def _inside(sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): a forest of the links inside the blocks of the groups by three orders of the tokens."""
     least = lambda seed: F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(seed))))

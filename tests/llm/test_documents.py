@@ -341,6 +341,36 @@ def test_large_groups_without_a_copied_table(spark, docs, monkeypatch):
     assert collections.Counter(tuple(r) for r in rows(shingle_join.similar(table))) == want
 
 
+def test_unlinked_texts_with_a_common_passage_are_not_paired(spark):
+    """A passage of seven eighths of each text: too little for a link, too much to lack among the texts' rarest tokens."""
+    passage = list(range(1, 89))
+    sets = [(i, [1000 + 20 * i + k for k in range(12)] + passage) for i in range(60)]
+    sets.append((60, sets[0][1][3:] + [9991, 9992]))       # 97 tokens in common with text 0
+    sets = spark.createDataFrame(sets, "rep bigint, tokens array<bigint>")
+    classes = sets.select("rep", F.size("tokens").cast("bigint").alias("size"), F.col("rep").alias("class"))
+    pairs = rows(shingle_join.group_pairs(shingle_join.matrix(shingle_join.rarest(sets, 85), classes), 85, hubs=False))
+    assert [{r["g"], r["h"]} for r in pairs] == [{0, 60}]
+
+
+def test_similar_on_texts_near_the_limit(spark, docs):
+    """Passages of 80 to 95 % of texts of many sizes, against brute force."""
+    rng = np.random.default_rng(8)
+    table = []
+    for i in range(240):
+        size, passage = int(rng.integers(8, 90)), int(rng.integers(0, 3))
+        kept = int(size * rng.uniform(0.8, 1.0))
+        words = [f"p{passage}x{k}" for k in range(kept)] + [f"o{i}x{k}" if rng.random() < 0.6 else f"s{k}" for k in range(size - kept)]
+        table.append((i, " ".join(words), "en", "s", 1))
+    table = spark.createDataFrame(table, docs.schema)
+    all_rows = rows(table)
+    sets, roots = classes(all_rows)
+    least = {}
+    for r, k in zip(all_rows, roots):
+        least[k] = min(least.get(k, r["doc_id"]), r["doc_id"])
+    want = {(r["doc_id"], len(s), least[k]) for r, s, k in zip(all_rows, sets, roots)}
+    assert want == {tuple(r) for r in rows(shingle_join.similar(table))} and 1 < len(set(roots)) < 240
+
+
 def test_similar_empty_and_clashing(empty, clashing):
     assert rows(shingle_join.similar(empty)) == [] and rows(shingle_join.representatives(empty)) == []
     assert shingle_join.representatives(clashing).columns == clashing.columns
