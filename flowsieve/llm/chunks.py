@@ -16,9 +16,14 @@ _SPACE_AFTER = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r"(?<!\s)(?= )|(?= \S)")
 
 
+def long_space(text: str) -> bool:
+    """Whether a text has white space that can't be cut before each space."""
+    return bool(_SPACE_AFTER.search(text) and _LONG_SPACE.search(text))
+
+
 def chunks(text: str) -> list[str]:
     """The chunks of a text; joined they give the text."""
-    if _SPACE_AFTER.search(text) and _LONG_SPACE.search(text):
+    if long_space(text):
         return [c for c in _CUT.split(text) if c]
     first, *rest = text.split(" ")
     rest = [" " + c for c in rest]

@@ -12,8 +12,8 @@ segment is one binary value that can be read alone:
 
 A block's width is the least one that fits PERCENTILE of its ids; wider ids go to its exception list. Spark writes
 the segments as binary rows of Parquet files, one file per task, so that a lost executor costs one task and
-unfinished files never count. A document lies in one segment, so memory is bounded by a segment and the
-longest document.
+unfinished files never count. A document lies in one segment, so memory is bounded by a slice of texts, a segment, the
+longest document and the table of known pre-tokens.
 
 Cases with a defined result: a null or empty text is the end id alone; rows with a null id come first; repeated ids follow
 each other in text order; an empty table gives no segments and an empty result.
@@ -25,16 +25,19 @@ import json
 import struct
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsieve.llm.bpe import byte_characters
-from flowsieve.llm.chunks import Memory
-from flowsieve.llm.common import worker_memory
+from flowsieve.llm.chunks import long_space
+from flowsieve.llm.common import text_slices, worker_memory
 
 BLOCK = 128
 PERCENTILE = 0.9
@@ -42,6 +45,10 @@ SEGMENT_IDS = 1 << 20
 MAGIC = b"PFR1"
 #: Fixed value: the pattern of the library's byte-level pre-tokenizer.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts and characters of a slice, whose distinct chunks are encoded once.
+SLICE_ROWS, SLICE_CHARS = 20_000, 16_000_000
+#: Pre-tokens that a worker keeps from task to task, some 80 MB at most, and the length of the longest one.
+KNOWN, LONGEST = 400_000, 32
 HEADER = "<4sIII"
 
 
@@ -134,48 +141,101 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return grid.reshape(-1)[:n].astype("<u4"), lengths
 
 
-def _encoder(tokenizer: str):
-    """Ids, as 32-bit numbers, of distinct chunks.
+class Encoder:
+    """Ids of whole texts by the tokenizers library; `tokenizer` is the content of its file.
 
-    The library's whole encode() makes offsets and token strings for every chunk. Where its settings are plain byte-level BPE,
-    chunks are cut by its pattern here, and each distinct pre-token goes through its BPE model once.
+    Where its settings are plain byte-level BPE, texts of a slice are cut before spaces (see chunks) by Arrow. The distinct chunks that
+    start with a space and another character are joined and cut by the library's pattern in one call, and each distinct
+    pre-token goes through the library's BPE model once. Other texts and chunks go through the library as they are.
     """
-    import regex
-    from tokenizers import Tokenizer
-    library = Tokenizer.from_str(tokenizer)
-    settings = json.loads(tokenizer)
-    special = [t["content"] for t in settings["added_tokens"]]
-    before = settings["pre_tokenizer"] or {}
-    plain = (settings["normalizer"] is None and settings["post_processor"] is None and settings["model"]["type"] == "BPE"
-             and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex"))
-    cut, model, letters = regex.compile(BYTE_LEVEL_PATTERN).findall, library.model, byte_characters().__getitem__
-
-    def encode(parts: list[str]) -> list[bytes]:
-        if not plain:
-            return [array("I", e.ids).tobytes() for e in library.encode_batch(parts, add_special_tokens=False)]
-        pieces: dict[str, bytes] = {}
-        out = []
-        for part in parts:
-            if any(s in part for s in special):
-                out.append(array("I", library.encode(part, add_special_tokens=False).ids).tobytes())
-                continue
-            own = []
-            for piece in cut(part):
-                if piece not in pieces:
-                    mapped = "".join(map(letters, piece.encode("utf-8", "surrogatepass")))
-                    pieces[piece] = array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
-                own.append(pieces[piece])
-            out.append(b"".join(own))
-        return out
-
-    return encode
-
-
-def _memory(tokenizer: str) -> Memory:
-    """The worker's encoder with its table of chunks; `tokenizer` is the content of a tokenizers file."""
+
+    def __init__(self, tokenizer: str):
+        import regex
+        from tokenizers import Tokenizer
+        self.library = Tokenizer.from_str(tokenizer)
+        settings = json.loads(tokenizer)
+        self.special = [t["content"] for t in settings["added_tokens"]]
+        before = settings["pre_tokenizer"] or {}
+        self.plain = (settings["normalizer"] is None and settings["post_processor"] is None and settings["model"]["type"] == "BPE"
+                      and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex"))
+        self.cut = regex.compile(BYTE_LEVEL_PATTERN).findall
+        self.known: dict[str, bytes] = {}
+        # 0xFF is no byte of UTF-8 and a line end no letter of a byte, so they part the pre-tokens
+        self.letters = dict(enumerate(byte_characters())) | {0xFF: "\n"}
+
+    def _whole(self, parts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch(parts, add_special_tokens=False)]
+
+    def _pre_tokens(self, parts: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, as 32-bit numbers; the first KNOWN short ones that the worker meets stay known."""
+        new = [p for p in parts if p not in self.known]
+        mapped = "\udcff".join(new).encode("utf-8", "surrogateescape").decode("latin-1").translate(self.letters)
+        model = self.library.model
+        made = dict(zip(new, [array("I", [t.id for t in model.tokenize(p)]).tobytes() for p in mapped.split("\n")])) if new else {}
+        found = [made[p] if p in made else self.known[p] for p in parts]
+        room = KNOWN - len(self.known)
+        if room > 0:
+            self.known.update(islice(((p, v) for p, v in made.items() if len(p) <= LONGEST), room))
+        return found
+
+    def _after_space(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of ids) of a space and each piece; no piece is empty or starts with white space."""
+        if not len(pieces):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        pre = pa.array(self.cut(" " + " ".join(_strings(pieces))), pa.large_string()).dictionary_encode()
+        found = self._pre_tokens(_strings(pre.dictionary))
+        code = pre.indices.to_numpy()
+        starts = np.flatnonzero(pc.starts_with(pre.dictionary, " ").to_numpy(zero_copy_only=False)[code])
+        if len(starts) != len(pieces):
+            raise ValueError("a chunk was not cut before its space")
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, size = _gathered(np.frombuffer(b"".join(found), "<u4"), counts, code)
+        return ids, np.add.reduceat(size, starts)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of ids) of the texts."""
+        whole = [not self.plain or long_space(t) or any(s in t for s in self.special) for t in texts]
+        pieces = pc.split_pattern(pa.array(["" if w else t for w, t in zip(whole, texts)], pa.large_string()), " ")
+        bounds = pieces.offsets.to_numpy()
+        coded = pieces.values.dictionary_encode()
+        distinct = coded.dictionary
+        alone = pc.or_(pc.equal(distinct, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(distinct, 0, 1))).to_numpy(zero_copy_only=False)
+        ids, counts = self._after_space(distinct.filter(pa.array(~alone)))
+        begins = dict.fromkeys(t if w else t.partition(" ")[0] for w, t in zip(whole, texts))
+        others = self._whole([" " + p for p in _strings(distinct.filter(pa.array(alone)))] + list(begins))
+        ids = np.concatenate([ids, *others])
+        counts = np.concatenate([counts, np.fromiter(map(len, others), np.int64, len(others))])
+        # where a distinct chunk's ids are: those of pieces after a space, of pieces alone, then of what begins a text or is a whole one
+        number = np.empty(len(distinct), np.int64)
+        number[np.argsort(alone, kind="stable")] = np.arange(len(distinct))
+        code = number[coded.indices.to_numpy()]
+        begin = {t: len(distinct) + i for i, t in enumerate(begins)}
+        code[bounds[:-1]] = [begin[t if w else t.partition(" ")[0]] for w, t in zip(whole, texts)]
+        ids, size = _gathered(ids, counts, code)
+        ends = np.concatenate(([0], np.cumsum(size)))
+        return ids, np.diff(ends[bounds])
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gathered(ids: np.ndarray, counts: np.ndarray, code: np.ndarray, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, lengths) of the lists that `code` numbers; indices exist for a part of them at a time."""
+    first = np.cumsum(counts) - counts
+    size, out = counts[code], []
+    for at in range(0, len(code), step):
+        own = size[at:at + step]
+        ends = np.cumsum(own)
+        out.append(ids[np.repeat(first[code[at:at + step]] - ends + own, own) + np.arange(ends[-1])])
+    return np.concatenate([*out, np.empty(0, "<u4")]), size
+
+
+def _encoder(tokenizer: str) -> Encoder:
+    """The worker's encoder, kept for later tasks."""
     kept = worker_memory()
     if kept.get("tokenizers", (None,))[0] != tokenizer:
-        kept["tokenizers"] = tokenizer, Memory(_encoder(tokenizer))
+        kept["tokenizers"] = tokenizer, Encoder(tokenizer)
     return kept["tokenizers"][1]
 
 
@@ -189,38 +249,38 @@ def segments(docs: DataFrame, tokenizer_path: str, end_id: int, *, doc_id: str =
     ordered = (rows.withColumn("_tie", tie).withColumn("_row", F.monotonically_increasing_id())
                .repartitionByRange(F.col("doc_id").asc_nulls_first(), "_tie", "_row")
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie", "_row").select("doc_id", "text"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches):
         os_environ_off()
-        memory = _memory(shared.value)
+        encoder = _encoder(shared.value)
         part, first = TaskContext.get().partitionId(), 0
         held, lengths, names, size = [], [], [], 0
 
         def out():
-            ids = np.frombuffer(b"".join(held), "<u4")
-            return pd.DataFrame({"part": [part], "first": [first], "doc_ids": [list(names)], "n_ids": [len(ids)],
-                                 "segment": [write_segment(ids, np.array(lengths))]})
-
-        try:
-            for batch in batches:
-                for start in range(0, len(batch), 200):
-                    some = batch.iloc[start:start + 200]
-                    texts = [t if isinstance(t, str) else "" for t in some["text"]]
-                    for name, parts in zip(some["doc_id"], memory.values(texts)):
-                        data = b"".join(parts) + end
-                        held.append(data)
-                        lengths.append(len(data) // 4)
-                        names.append(None if pd.isna(name) else int(name))
-                        size += lengths[-1]
-                        if size >= SEGMENT_IDS:
-                            yield out()
-                            first += size
-                            held, lengths, names, size = [], [], [], 0
-            if names:
-                yield out()
-        finally:
-            memory.clear()      # the worker keeps the encoder for later tasks, but not this one's chunks
+            return pd.DataFrame({"part": [part], "first": [first], "doc_ids": [list(names)], "n_ids": [size],
+                                 "segment": [write_segment(np.concatenate(held), np.array(lengths))]})
+
+        for batch in batches:
+            for at in text_slices(batch["text"], SLICE_ROWS, SLICE_CHARS):
+                some = batch.iloc[at]
+                ids, counts = encoder.encode([t if isinstance(t, str) else "" for t in some["text"]])
+                stops = np.cumsum(counts)
+                ids, counts = np.insert(ids, stops, end_id), counts + 1
+                ends = np.cumsum(counts)
+                low = 0
+                for name, count, stop in zip(some["doc_id"], counts.tolist(), ends.tolist()):
+                    lengths.append(count)
+                    names.append(None if pd.isna(name) else int(name))
+                    size += count
+                    if size >= SEGMENT_IDS:
+                        held.append(ids[low:stop])
+                        low = stop
+                        yield out()
+                        first += size
+                        held, lengths, names, size = [], [], [], 0
+                held.append(ids[low:])
+        if names:
+            yield out()
 
     return ordered.mapInPandas(pack, "part int, first bigint, doc_ids array<bigint>, n_ids bigint, segment binary")
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import types
 import zlib
 
 import numpy as np
@@ -189,6 +190,32 @@ def test_segments_round_trip():
             assert got.tolist() == ids.tolist() and sizes.tolist() == lengths.tolist()
 
 
+def test_encoder_equals_the_library_and_keeps_pre_tokens(monkeypatch):
+    from tokenizers import Tokenizer
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        content = file.read()
+    library = Tokenizer.from_str(content)
+    texts = noisy_texts(300) + ["", " ", "  a", "a \n b", "x <|endoftext|> y", "a\u3000 b\x85 c", "ｅ \xa0 d", " \x00 \x1c z"]
+    encoder = token_files.Encoder(content)
+
+    def agree(some):
+        ids, counts = encoder.encode(some)
+        ends = np.cumsum(counts)
+        assert [ids[e - c:e].tolist() for c, e in zip(counts.tolist(), ends.tolist())] == [
+            e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+
+    agree(texts)
+    agree([])
+    # what an earlier slice met is not encoded again
+    known = dict(encoder.known)
+    encoder.library = types.SimpleNamespace(model=None)
+    assert known and encoder._pre_tokens(list(known)) == list(known.values())
+    monkeypatch.setattr(token_files, "KNOWN", 10)
+    encoder = token_files.Encoder(content)
+    agree(texts)
+    assert len(encoder.known) == 10
+
+
 def test_token_files(spark, odd, empty):
     from tokenizers import Tokenizer
     file = public_tokenizers.path("byte_bpe_50k.json")
