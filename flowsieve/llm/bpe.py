@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.llm.chunks import Memory
-from flowsieve.llm.common import per_text, worker_memory
+from flowsieve.llm.common import give_back, per_text, worker_memory
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -141,6 +141,7 @@ def _task(batches, each, codec, rows: int = 500):
         yield from per_text(batches, each, rows)
     finally:
         codec().memory.clear()
+        give_back()
 
 
 def _texts(column) -> list[str]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from flowsieve.llm.common import held_small, packed, text_slices
+from flowsieve.llm.common import give_back, held_small, packed, text_slices
 from flowsieve.llm.words import Words, encoded
 from flowsieve.session import settle
 
@@ -99,8 +99,12 @@ def counted(docs: DataFrame, doc_id: str, text: str, lang: str, source: str) ->
         counts = text_counts(part["text"])
         return pd.concat([part.drop(columns="text").reset_index(drop=True), counts], axis=1)
 
-    return rows.mapInPandas(
-        lambda batches: (each(batch.iloc[part]) for batch in batches for part in text_slices(batch["text"])), schema)
+    def parts(batches):
+        for batch in batches:
+            yield from (each(batch.iloc[part]) for part in text_slices(batch["text"]))
+        give_back()
+
+    return rows.mapInPandas(parts, schema)
 
 
 def sketch_bin(value: Column) -> Column:
@@ -166,6 +170,7 @@ def thresholds(rows: DataFrame, by: tuple[str, str]) -> DataFrame:
 @F.pandas_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
 def counts_of(texts: pd.Series) -> pd.DataFrame:
     parts = [text_counts(texts.iloc[part]) for part in text_slices(texts)]
+    give_back()
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in COUNTS}, dtype="int64")
 
 
