@@ -5,7 +5,8 @@ file from its start. Only whole lines count: an offset ends behind a line end. A
 changed, was truncated or replaced and is read again from its start. A truncated file that has grown past its old offset with the same
 first HEAD bytes can't be told from an appended one.
 
-Byte ranges are cut into pieces of `bytesPerPartition`, which tasks read on their own: a piece has the lines that start in it.
+Byte ranges are cut into pieces of `bytesPerPartition`, which tasks read on their own: a piece has the lines that start in it. A batch of
+more than PIECES such pieces is cut into longer ones, so that its tasks don't grow in number with the logs.
 
     spark.dataSource.register(LogTail)
     lines = spark.readStream.format("log_tail").load("/shared/logs")        # or a URI; option glob: "*.jsonl"
@@ -25,6 +26,7 @@ SCHEMA = "file string, position bigint, value string"
 HEAD = 1024
 BLOCK = 1 << 16
 BYTES_PER_PARTITION = 1 << 25
+PIECES = 512
 
 
 class Piece(InputPartition):
@@ -99,11 +101,12 @@ class TailReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
         files, _ = self._files()
+        begins = {path: self._resumed(files, path, start.get(path), new) for path, new in end.items()}
+        size = max(self.bytes_per_partition, -(-sum(end[path][0] - begin for path, begin in begins.items()) // PIECES))
         pieces = []
-        for path, new in end.items():
-            begin = self._resumed(files, path, start.get(path), new)
-            for at in range(begin, new[0], self.bytes_per_partition):
-                pieces.append(Piece(path, begin, at, min(at + self.bytes_per_partition, new[0]), new[0]))
+        for path, begin in begins.items():
+            stop = end[path][0]
+            pieces += [Piece(path, begin, at, min(at + size, stop), stop) for at in range(begin, stop, size)]
         return pieces
 
     def read(self, partition: Piece) -> Iterator:

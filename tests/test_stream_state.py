@@ -250,6 +250,17 @@ def test_pieces_hold_every_line_once(tmp_path):
         assert [v for _, v in sorted(read)] == lines
 
 
+def test_the_number_of_pieces_is_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr(tail, "PIECES", 5)
+    lines = {f"{n}.log": [f"{n} {i}" for i in range(100 * n)] for n in range(4)}
+    for name, own in lines.items():
+        (tmp_path / name).write_text("".join(line + "\n" for line in own))
+    reader = tail.TailReader(str(tmp_path), "*", 8)
+    pieces = reader.partitions({}, reader.latestOffset())
+    read = [r["value"] for p in pieces for b in reader.read(p) for r in b.to_pylist()]
+    assert len(pieces) <= 5 + len(lines) and sorted(read) == sorted(line for own in lines.values() for line in own)
+
+
 # --- streams whose cost must not grow with keys, files or repeated reads ---
 
 def test_many_flows_are_cut_at_once():
