@@ -10,24 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.llm import bpe, mixing, quality_rules, secrets_scan, shingle_join
-from flowsieve.llm.common import packed, table
+from flowsieve.llm.common import bounded_batches, packed, table
 from flowsieve.llm.queries import MIX_CAP, MIX_SHARE, MIX_WEIGHTS, tokenizer
 from flowsieve.session import scratch_path
 
 #: Near duplicates of the stage; op8_shingle_join has a contract of its own, 4 words and 85 %.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
-#: Rows and bytes of an Arrow batch: with whole texts in it, 10,000 rows are tens of megabytes on both sides of a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 1 << 24
-#: Rows of a batch of the Parquet reader, whose column buffers are single arrays on the heap.
-READ_ROWS = 512
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Holds the session's Arrow and Parquet batches below the stage's bounds; smaller Arrow batches that are set already stay."""
-    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS if rows <= 0 else min(rows, BATCH_ROWS)))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

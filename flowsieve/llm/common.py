@@ -69,6 +69,20 @@ def give_back() -> None:
         trim(0)
 
 
+#: Rows and bytes of an Arrow batch: with whole texts in it, 10,000 rows are tens of megabytes on both sides of a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 1 << 24
+#: Rows of a batch of the Parquet reader, whose column buffers are single arrays on the heap.
+READ_ROWS = 512
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow and Parquet batches below these bounds; smaller Arrow batches that are set already stay."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS if rows <= 0 else min(rows, BATCH_ROWS)))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+
+
 def per_text(batches: Iterable[pd.DataFrame], each: Callable[[pd.DataFrame], pd.DataFrame],
              rows: int = 500) -> Iterator[pd.DataFrame]:
     """Applies a function to slices of the batches, so that no large output frame builds up."""

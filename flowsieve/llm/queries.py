@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.llm import (alignment, bpe, language, mixing, page_text, quality_model, quality_rules, resampling, secrets_scan, sharding,
                            shingle_join, token_files, vector_join)
-from flowsieve.llm.common import table
+from flowsieve.llm.common import bounded_batches, table
 from flowsieve.llm.resampling_sql import RESAMPLING
 from flowsieve.session import scratch_path
 
@@ -40,6 +40,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     path = scratch_path(spark, "tokens")
     token_files.write_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
     return token_files.documents(token_files.read_files(spark, path))
@@ -59,6 +60,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return shingle_join.similar(table(spark, sf_dir, "documents"), 4, 85)
 
 

@@ -25,6 +25,7 @@ import json
 import struct
 import zlib
 from array import array
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.llm.bpe import byte_characters
 from flowsieve.llm.chunks import long_space
-from flowsieve.llm.common import text_slices, worker_memory
+from flowsieve.llm.common import give_back, worker_memory
 
 BLOCK = 128
 PERCENTILE = 0.9
@@ -45,8 +46,8 @@ SEGMENT_IDS = 1 << 20
 MAGIC = b"PFR1"
 #: Fixed value: the pattern of the library's byte-level pre-tokenizer.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts and characters of a slice, whose distinct chunks are encoded once.
-SLICE_ROWS, SLICE_CHARS = 20_000, 16_000_000
+#: Texts and characters of a slice, whose distinct chunks are encoded once. A slice takes some 20 bytes a character.
+SLICE_ROWS, SLICE_CHARS = 20_000, 6_000_000
 #: Pre-tokens that a worker keeps from task to task, some 80 MB at most, and the length of the longest one.
 KNOWN, LONGEST = 400_000, 32
 HEADER = "<4sIII"
@@ -196,8 +197,9 @@ class Encoder:
         """(ids one after the other, number of ids) of the texts."""
         whole = [not self.plain or long_space(t) or any(s in t for s in self.special) for t in texts]
         pieces = pc.split_pattern(pa.array(["" if w else t for w, t in zip(whole, texts)], pa.large_string()), " ")
-        bounds = pieces.offsets.to_numpy()
+        bounds = pieces.offsets.to_numpy().copy()
         coded = pieces.values.dictionary_encode()
+        del pieces      # it is as large as the slice
         distinct = coded.dictionary
         alone = pc.or_(pc.equal(distinct, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(distinct, 0, 1))).to_numpy(zero_copy_only=False)
         ids, counts = self._after_space(distinct.filter(pa.array(~alone)))
@@ -209,6 +211,7 @@ class Encoder:
         number = np.empty(len(distinct), np.int64)
         number[np.argsort(alone, kind="stable")] = np.arange(len(distinct))
         code = number[coded.indices.to_numpy()]
+        del coded
         begin = {t: len(distinct) + i for i, t in enumerate(begins)}
         code[bounds[:-1]] = [begin[t if w else t.partition(" ")[0]] for w, t in zip(whole, texts)]
         ids, size = _gathered(ids, counts, code)
@@ -223,12 +226,14 @@ def _strings(column: pa.Array) -> list[str]:
 def _gathered(ids: np.ndarray, counts: np.ndarray, code: np.ndarray, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """(ids, lengths) of the lists that `code` numbers; indices exist for a part of them at a time."""
     first = np.cumsum(counts) - counts
-    size, out = counts[code], []
+    size = counts[code]
+    out, done = np.empty(int(size.sum()), "<u4"), 0
     for at in range(0, len(code), step):
         own = size[at:at + step]
         ends = np.cumsum(own)
-        out.append(ids[np.repeat(first[code[at:at + step]] - ends + own, own) + np.arange(ends[-1])])
-    return np.concatenate([*out, np.empty(0, "<u4")]), size
+        out[done:done + int(ends[-1])] = ids[np.repeat(first[code[at:at + step]] - ends + own, own) + np.arange(ends[-1])]
+        done += int(ends[-1])
+    return out, size
 
 
 def _encoder(tokenizer: str) -> Encoder:
@@ -260,31 +265,48 @@ def segments(docs: DataFrame, tokenizer_path: str, end_id: int, *, doc_id: str =
             return pd.DataFrame({"part": [part], "first": [first], "doc_ids": [list(names)], "n_ids": [size],
                                  "segment": [write_segment(np.concatenate(held), np.array(lengths))]})
 
-        for batch in batches:
-            for at in text_slices(batch["text"], SLICE_ROWS, SLICE_CHARS):
-                some = batch.iloc[at]
-                ids, counts = encoder.encode([t if isinstance(t, str) else "" for t in some["text"]])
-                stops = np.cumsum(counts)
-                ids, counts = np.insert(ids, stops, end_id), counts + 1
-                ends = np.cumsum(counts)
-                low = 0
-                for name, count, stop in zip(some["doc_id"], counts.tolist(), ends.tolist()):
-                    lengths.append(count)
-                    names.append(None if pd.isna(name) else int(name))
-                    size += count
-                    if size >= SEGMENT_IDS:
-                        held.append(ids[low:stop])
-                        low = stop
-                        yield out()
-                        first += size
-                        held, lengths, names, size = [], [], [], 0
-                held.append(ids[low:])
+        for known, texts in _slices(batches):
+            ids, counts = encoder.encode(texts)
+            del texts
+            ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+            low = 0
+            for name, count, stop in zip(known, counts.tolist(), np.cumsum(counts).tolist()):
+                lengths.append(count)
+                names.append(name)
+                size += count
+                if size >= SEGMENT_IDS:
+                    held.append(ids[low:stop])
+                    low = stop
+                    yield out()
+                    first += size
+                    held, lengths, names, size = [], [], [], 0
+            held.append(ids[low:].copy())     # a view would keep the whole slice
+            del ids
+            give_back()
         if names:
             yield out()
+        held.clear()
+        give_back()
 
     return ordered.mapInPandas(pack, "part int, first bigint, doc_ids array<bigint>, n_ids bigint, segment binary")
 
 
+def _slices(batches) -> Iterator[tuple[list[int | None], list[str]]]:
+    """(ids, texts) of slices of a task's rows, whatever its batches are."""
+    names, texts, chars = [], [], 0
+    for batch in batches:
+        for name, text in zip(batch["doc_id"], batch["text"]):
+            text = text if isinstance(text, str) else ""
+            if texts and (len(texts) >= SLICE_ROWS or chars + len(text) > SLICE_CHARS):
+                yield names, texts
+                names, texts, chars = [], [], 0
+            names.append(None if pd.isna(name) else int(name))
+            texts.append(text)
+            chars += len(text)
+    if texts:
+        yield names, texts
+
+
 def os_environ_off() -> None:
     """One thread per task: Spark runs as many tasks as it has cores."""
     import os
@@ -321,6 +343,7 @@ def documents(files: DataFrame, with_ids: bool = False) -> DataFrame:
                     if with_ids:
                         made["ids"] = [ids[a:b].astype("int64") for a, b in pairs]
                     yield pd.DataFrame(made)
+        give_back()
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
     return files.select("before", "first", "doc_ids", "segment").mapInPandas(each, schema)
