@@ -46,6 +46,8 @@ HELD = 1 << 20
 DOCS_PER_RANGE = 2000
 BLOCK = 500
 LARGE = 50 * BLOCK
+#: Tokens of a block from which its worker gives freed memory back.
+LARGE_TASK = 1 << 17
 SLICE = 200
 SALTS = 16
 _SALT = 0x5851F42D4C957F2D
@@ -157,7 +159,7 @@ def postings(docs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
                     if digests[-1] in seen:
                         continue
                     seen.add(digests[-1])
-                    tokens.append(own[:k])
+                    tokens.append(own[:k].copy())     # a view would keep the slice's tokens
                     refs.append(np.full(k, len(sizes), np.int32))
                     sizes.append(size)
                     marks.append(digests[-1])
@@ -211,6 +213,8 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
         data = np.array([high - low], "<u8").tobytes() + ids[low:high].astype("<u8").tobytes() + refs[low:high].astype("<i4").tobytes() \
             + total[low:high].astype("<u4").tobytes()
         out.append((int(rows["unit"].iloc[number]), 3, data))
+    del ids, refs, times, unit, unique, back, total, hit, order
+    give_back()
     return pd.DataFrame(out, columns=["unit", "kind", "data"])
 
 
@@ -254,6 +258,8 @@ def _passing(percent: int):
             group = mixed(np.array([int(mixed(own ^ np.uint64(_SALT)).min()) ^ band], np.uint64)).view(np.int64)[0]
             digest = table[8 + 4 * docs + 16 * i:8 + 4 * docs + 16 * i + 16]
             out.append((digest, int(size[i]), int(group), own.view(np.int64)))
+        del ids, refs, times, many, many_id, many_times, token, ref, often, order
+        give_back()
         return pd.DataFrame(out, columns=["digest", "size", "grp", "tokens"]) if out else empty
     return each
 
@@ -417,6 +423,8 @@ def _open_task(percent: int):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sets = [np.asarray(t, np.int64).view(np.uint64) for t in rows["tokens"]]
         edges = opened(rows["rep"].to_numpy(), rows["side"].to_numpy(), rows["known"].to_numpy(), sets, percent)
+        if sum(map(len, sets)) > LARGE_TASK:
+            give_back()
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
     return each
 
@@ -548,6 +556,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             tokens = [sets[i].view(np.int64) for i in range(len(part))]
             marks = [hashlib.blake2b(t.tobytes(), digest_size=16).digest() for t in tokens]
             yield pd.DataFrame({"rep": part["rep"], "mark": marks, "tokens": tokens}, index=part.index)
+        give_back()
 
     made = rows.mapInPandas(each, "rep bigint, mark binary, tokens array<bigint>")
     return made.filter(F.xxhash64("mark") == F.col("rep")).drop("mark")
