@@ -92,7 +92,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.letters = byte_characters()
         self.tokens = tokens
-        self.memory = Memory(self._chunks)
+        self.memory = Memory(self._chunks, limit=100_000)
 
     def _chunks(self, parts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as 32-bit numbers, ids as decimal text) of every chunk."""
@@ -135,7 +135,7 @@ class Tokenizer:
         return kept["codec"][1]
 
 
-def _task(batches, each, codec, rows: int = 500):
+def _task(batches, each, codec, rows: int = 100):
     """per_text over a task's batches; the worker keeps the codec for later tasks, but not the chunks this one has met."""
     try:
         yield from per_text(batches, each, rows)
@@ -160,7 +160,7 @@ def encoded(docs: DataFrame, tokenizer: Tokenizer, *, text: str = "text", ids: s
         return out
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return rows.mapInPandas(lambda batches: _task(batches, each, lambda: shared.value.codec(), 200), f"{fields}`{ids}` array<int>")
+    return rows.mapInPandas(lambda batches: _task(batches, each, lambda: shared.value.codec()), f"{fields}`{ids}` array<int>")
 
 
 def decoded(rows: DataFrame, tokenizer: Tokenizer, *, ids: str = "ids", text: str = "text") -> DataFrame:

@@ -73,14 +73,17 @@ def give_back() -> None:
 BATCH_ROWS, BATCH_BYTES = 2000, 1 << 24
 #: Rows of a batch of the Parquet reader, whose column buffers are single arrays on the heap.
 READ_ROWS = 512
+#: Bytes of a row group that a Parquet writer holds on the heap; Parquet's own bound is 128 MB a task.
+GROUP_BYTES = 1 << 24
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Holds the session's Arrow and Parquet batches below these bounds; smaller Arrow batches that are set already stay."""
+    """Holds the session's Arrow batches, Parquet batches and row groups below these bounds; smaller Arrow batches that are set already stay."""
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS if rows <= 0 else min(rows, BATCH_ROWS)))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+    spark.conf.set("parquet.block.size", str(GROUP_BYTES))
 
 
 def per_text(batches: Iterable[pd.DataFrame], each: Callable[[pd.DataFrame], pd.DataFrame],

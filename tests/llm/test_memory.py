@@ -1,9 +1,10 @@
 """What Python workers and batches may hold, so that an executor's memory doesn't grow with the table."""
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 
-from flowsieve.llm import token_files
+from flowsieve.llm import shingle_join, token_files
 from flowsieve.llm.queries import op4_token_files, op8_shingle_join
 
 ROWS = "doc_id bigint, text string"
@@ -37,9 +38,19 @@ def test_token_files_do_not_depend_on_batches_or_slices(spark, tmp_path, monkeyp
 
 def test_queries_hold_their_batches_of_whole_texts_small(spark, tmp_path):
     spark.createDataFrame([(1, "one two three four five"), (2, "six")], ROWS).write.parquet(str(tmp_path / "documents.parquet"))
-    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize", "parquet.block.size"]
     for query in (op4_token_files, op8_shingle_join):
         for name in names:
             spark.conf.unset(name)
         assert query(spark, str(tmp_path)).count() == 2
         assert int(spark.conf.get(names[0])) <= 2000 and int(spark.conf.get(names[1])) <= 512
+        assert int(spark.conf.get(names[2])) <= 1 << 24
+
+
+def test_large_blocks_give_freed_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(shingle_join, "give_back", lambda: given.append(1))
+    monkeypatch.setattr(shingle_join, "LARGE_TASK", 50)
+    block = lambda n: pd.DataFrame({"rep": [1, 2], "side": [0, 0], "known": [1, 2], "tokens": [np.arange(n), np.arange(n)]})
+    assert shingle_join._open_task(85)(block(10)).values.tolist() == [[1, 2]] and not given
+    assert shingle_join._open_task(85)(block(40)).values.tolist() == [[1, 2]] and given
